@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing
+from tessera.llm import decontaminate, language, mixing, quality
+from tessera.llm.arrow import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes from each."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -25,7 +33,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest, decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_decontaminate)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identified(docs, language.train(docs))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op5_mix_sources, op7_decontaminate, op8_language)}
 
 ORACLE_SQL = {
     "op5_mix_sources": r"""
