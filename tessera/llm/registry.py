@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, mixing, quality, vectors
+from tessera.llm import decontaminate, language, minhash, mixing, quality, vectors
 from tessera.llm.arrow import held_out
 
 
@@ -45,7 +45,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_vectors, op5_mix_sources, op7_decontaminate, op8_language)}
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op3_vectors, op5_mix_sources, op7_decontaminate, op8_language, op10_near_copies)}
 
 ORACLE_SQL = {
     "op5_mix_sources": r"""
