@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, minhash, mixing, quality, vectors
+from tessera.llm import decontaminate, html, language, minhash, mixing, quality, vectors, warc
 from tessera.llm.arrow import held_out
 
 
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of an archive of all pages, as read back from its files."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -31,6 +36,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(mixed["id"].alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document benchmark items cover."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,9 +61,17 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_vectors, op5_mix_sources, op7_decontaminate, op8_language, op10_near_copies)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op10_near_copies)}
 
 ORACLE_SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f""",
     "op5_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
