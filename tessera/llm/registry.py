@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html, language, minhash, mixing, quality, vectors, warc
+from tessera.llm import decontaminate, html, language, minhash, mixing, quality, substrings, vectors, warc
 from tessera.llm.arrow import held_out
 
 
@@ -30,6 +30,12 @@ def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 50 words of earlier ones."""
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes from each."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -61,9 +67,21 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op10_near_copies)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op4_passages, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op10_near_copies)}
 
 ORACLE_SQL = {
+    "op4_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g),
+places AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM (SELECT doc_id, i FROM s JOIN f USING (g) WHERE least < doc_id)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS rest
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d) ANTI JOIN places USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
