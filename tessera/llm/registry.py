@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html, language, minhash, mixing, quality, substrings, vectors, warc
+from tessera.llm import decontaminate, html, language, minhash, mixing, quality, substrings, suffixes, vectors, warc
 from tessera.llm.arrow import held_out
 
 
@@ -61,13 +61,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur twice."""
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op4_passages, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op10_near_copies)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op4_passages, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op9_repeats, op10_near_copies)}
 
 ORACLE_SQL = {
     "op4_passages": r"""
