@@ -267,17 +267,17 @@ def without(batch: pa.RecordBatch) -> pa.RecordBatch:
             removed += max(0, span[1] - max(span[0], at))
             at = reach = max(at, span[1])
         rest = b"".join([*kept, raw[at:]])
-        rows.append((uid, removed, runs, hashlib.sha256(rest).hexdigest(), rest))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n_removed", "n_spans", "cut_sha256", "kept_bytes"])
+        rows.append((uid, removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n_removed", "n_spans", "cut_sha256", "kept_text"])
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = SLOTS, group: int = GROUP) -> DataFrame:
-    """(id, uid, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes) of every row: without the bytes that
+    """(id, uid, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row: without the bytes that
     are covered by ``window`` bytes which also start anywhere else, in this text or another.
 
-    kept_bytes is null where all stay; what is kept may not be valid UTF-8 where a cut falls inside
-    a character. Rows are documents of their own even if they are equal: both lose what they share.
+    kept_text is null where all stay; kept_sha256 is of the bytes that are left, kept_text leaves out
+    what a cut has left of a character. Rows are documents of their own even if they are equal: both lose what they share.
     Null texts are empty. Null ids are ids like others. No rows: no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("uid", row_uid(F.col("id"), F.col("text")))
@@ -296,10 +296,22 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     copied = differ.join(tally.where("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
     spans = alike.unionByName(copied).select("uid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")).unionByName(more)
     per_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    done = map_batches(rows.select("uid", "text").join(per_text, "uid"), without, "uid long, n_removed long, n_spans long, cut_sha256 string, kept_bytes binary", rows=_ROWS)
-    done = done.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "cut_sha256", "kept_bytes")))
+    done = map_batches(rows.select("uid", "text").join(per_text, "uid"), without, "uid long, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
+    done = done.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "cut_sha256", "kept_text")))
     zero = F.lit(0).cast("long")
-    return texts.drop("contexts").join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_bytes")
+    return texts.drop("contexts").join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
+
+
+def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, with their texts less what ``deduplicated`` removes; ``length_col``
+    (if there is one) is set to the new length where the text changes."""
+    uid = row_uid(F.col(id_col).cast("long"), F.col(text_col))
+    changed = deduplicated(docs, id_col=id_col, text_col=text_col).where("kept_text is not null").groupBy(F.col("uid").alias("__uid")).agg(F.first("kept_text").alias("__kept"))
+    joined = docs.withColumn("__of", uid).join(changed, F.col("__of") == F.col("__uid"), "left")
+    new = {text_col: F.coalesce("__kept", text_col)}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def repeats_rows(texts: DataFrame) -> bool:
