@@ -23,8 +23,6 @@ from tessera.session import materialize
 WINDOW = 50
 #: After so many rounds a symbol stands for three words on average, and depends on about twenty.
 ANCHOR_ROUND = 4
-#: More rounds than any text needs: each leaves three quarters of the symbols.
-MOST_ROUNDS = 200
 _INDEX = np.uint64((1 << 24) - 1)
 _ROWS = 64
 
@@ -51,9 +49,9 @@ def of_words(w: Words) -> tuple[Symbols, np.ndarray, np.ndarray]:
     return Symbols(w.hashes, w.of, at, at + 1, at, at + 1), w.first[:-1] - 1, w.first[1:] + 1
 
 
-def compress(s: Symbols, turn: int, before: np.ndarray, after: np.ndarray) -> tuple[Symbols, np.ndarray]:
+def compress(s: Symbols, turn: int, before: np.ndarray, after: np.ndarray) -> Symbols:
     """One round. ``before`` and ``after`` are the places outside each text: a symbol that depends on
-    what comes there depends on more than its text. Also tells which symbols are new."""
+    what comes there depends on more than its text."""
     n, salt, side = len(s), np.uint64(2 * turn + 1), np.uint64((2 * turn + 1) * int(BASES[1]) % (1 << 64))
     same = np.zeros(n + 1, bool)
     same[1:-1] = (s.name[1:] == s.name[:-1]) & (s.of[1:] == s.of[:-1])
@@ -79,11 +77,12 @@ def compress(s: Symbols, turn: int, before: np.ndarray, after: np.ndarray) -> tu
     alone_left, alone_right = ~joined & ~right[at], ~joined & right[at]
     near = np.where(alone_right, np.where(edge[at], before[of[at]], runs.near[at - 1]), runs.near[at])
     far = np.where(joined, runs.far[following], np.where(alone_left, np.where(edge[at + 1], after[of[at]], runs.far[following]), runs.far[at]))
-    return Symbols(name, of[at], runs.start[at], np.where(joined, runs.end[following], runs.end[at]), near, far), joined | (times > 1)[at]
+    return Symbols(name, of[at], runs.start[at], np.where(joined, runs.end[following], runs.end[at]), near, far)
 
 
-def anchors(s: Symbols, w: Words, sums: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, lo, hi): the windows lo..hi (by their first words) have ``key`` as their anchor.
+def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, ctx, lo, hi): the windows lo..hi (by their first words) have ``key`` as their anchor; ``ctx``
+    is the hash of all words from the first window to the last.
 
     The anchor of a window is the symbol of the smallest hash among those that depend on words of the
     window alone, so equal windows have equal anchors. A window without one is its own anchor."""
@@ -93,7 +92,8 @@ def anchors(s: Symbols, w: Words, sums: np.ndarray, window: int) -> tuple[np.nda
     offset = np.concatenate([[0], np.cumsum(count)])
     p = np.arange(offset[-1]) + np.repeat(w.first[:-1] - offset[:-1], count)
     if not len(p):
-        return np.empty(0, np.uint64), p, p
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), p, p
+    sums = [prefix_sums(w.hashes, b) for b in BASES]
     below = np.cumsum(np.bincount(np.maximum(s.near + 1, 0), minlength=total + 3))  # symbols that depend on nothing from this place on back
     within = np.cumsum(np.bincount(s.far, minlength=total + 3))
     lo, hi = below[p], within[p + window] - 1
@@ -115,8 +115,8 @@ def anchors(s: Symbols, w: Words, sums: np.ndarray, window: int) -> tuple[np.nda
     last = np.append(first[1:], len(p)) - 1
     key = s.name[best[first]]
     own = best[first] < 0
-    key[own] = run_hashes(sums, p[first[own]], p[first[own]] + window, BASES[1]) ^ np.uint64(1)
-    return key, p[first], p[last]
+    key[own] = run_hashes(sums[1], p[first[own]], p[first[own]] + window, BASES[1]) ^ np.uint64(1)
+    return key, run_hashes(sums[0], p[first], p[last] + window, BASES[0]), p[first], p[last]
 
 
 def lists(of: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
@@ -125,53 +125,40 @@ def lists(of: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), structs)
 
 
-PARSED = "uid long, id long, n_words long, kept_sha256 string, anchors array<struct<key:long,lo:int,hi:int>>, longs array<struct<k1:long,k2:long,start:int,end:int>>"
+PARSED = "uid long, id long, n_words long, kept_sha256 string, anchors array<struct<key:long,ctx:long,lo:int,hi:int>>"
 
 
-def parsed(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    """The anchors of all windows and the symbols of a window or more words, a row a text."""
-    a_parts, l_parts, counts, digests = [], [], [], []
+def parsed(batch: pa.RecordBatch, window: int, turns: int) -> pa.RecordBatch:
+    """The anchors of all windows after some rounds, a row a text."""
+    found, counts, digests = [], [], []
     for w in words(batch.column("text")):
         s, before, after = of_words(w)
-        sums = [prefix_sums(w.hashes, b) for b in BASES]
-        made = []
-        for turn in range(MOST_ROUNDS):
-            if turn == ANCHOR_ROUND:
-                key, lo, hi = anchors(s, w, sums[1], window)
-                of = w.of[lo]
-                a_parts.append(lists(of, len(w.rows), key=key.view(np.int64), lo=(lo - w.first[of]).astype(np.int32), hi=(hi - w.first[of]).astype(np.int32)))
-            if turn > ANCHOR_ROUND and len(s) <= (np.diff(w.first) > 0).sum():
-                break
-            if len(s):
-                s, new = compress(s, turn, before, after)
-                long = new & (s.end - s.start >= window)
-                made.append((s.of[long], s.start[long], s.end[long]))
-        of, start, end = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.empty(0, np.int64),) * 3
-        order = np.argsort(of, kind="stable")
-        of, start, end = of[order], start[order], end[order]
-        k1, k2 = (run_hashes(x, start, end, b).view(np.int64) for x, b in zip(sums, BASES, strict=True))
-        l_parts.append(lists(of, len(w.rows), k1=k1, k2=k2, start=(start - w.first[of]).astype(np.int32), end=(end - w.first[of]).astype(np.int32)))
+        for turn in range(turns if len(s) else 0):
+            s = compress(s, turn, before, after)
+        key, ctx, lo, hi = anchors(s, w, window)
+        of = w.of[lo]
+        found.append(lists(of, len(w.rows), key=key.view(np.int64), ctx=ctx.view(np.int64), lo=(lo - w.first[of]).astype(np.int32), hi=(hi - w.first[of]).astype(np.int32)))
         counts += np.diff(w.first).tolist()
         digests += [hashlib.sha256(b" ".join(w.raw[lo:hi].tobytes().split())).hexdigest() for lo, hi in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests), pa.concat_arrays(a_parts), pa.concat_arrays(l_parts)], ["uid", "id", "n_words", "kept_sha256", "anchors", "longs"])
+    return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests), pa.concat_arrays(found)], ["uid", "id", "n_words", "kept_sha256", "anchors"])
+
+
+WINDOWS = "k1 long, k2 long, id long, key long, ctx long, off int, open boolean"
 
 
-def hashed_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
-    """128-bit hashes of the windows in a text's ranges (lo, hi, open); open: it asks for an answer."""
-    ranges, out = batch.column("ranges").to_pylist(), []
-    uid, ids = batch.column("uid").to_numpy(), batch.column("id").to_numpy()
+def hashed_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """128-bit hashes of the windows in some contexts of each text; open: the context asks for an answer."""
+    ranges, ids, out = batch.column("ranges").to_pylist(), batch.column("id").to_numpy(), []
     for w in words(batch.column("text")):
         sums = [prefix_sums(w.hashes, b) for b in BASES]
         for i, row in enumerate(w.rows):
-            if ranges[row]:
-                lo, hi, asks = (np.array([r[k] for r in ranges[row]]) for k in ("lo", "hi", "open"))
-                count = hi - lo + 1
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                k1, k2 = (run_hashes(x, at + w.first[i], at + w.first[i] + window, b).view(np.int64) for x, b in zip(sums, BASES, strict=True))
-                out.append((k1, k2, np.full(len(at), uid[row]), np.full(len(at), ids[row]), at.astype(np.int32), np.repeat(asks, count)))
-    if not out:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["k1", "k2", "uid", "id", "at", "open"])
+            lo, hi, key, ctx, asks = (np.array([r[k] for r in ranges[row]]) for k in ("lo", "hi", "key", "ctx", "open"))
+            count = hi - lo + 1
+            off = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+            at = np.repeat(lo, count) + off + w.first[i]
+            k1, k2 = (run_hashes(x, at, at + window, b).view(np.int64) for x, b in zip(sums, BASES, strict=True))
+            out.append((k1, k2, np.full(len(at), ids[row]), np.repeat(key, count), np.repeat(ctx, count), off.astype(np.int32), np.repeat(asks, count)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["k1", "k2", "id", "key", "ctx", "off", "open"])
 
 
 def without(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,43 +182,37 @@ def row_uid(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, F.coalesce(text, F.lit("")), F.lit(4))
 
 
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, turns: int = ANCHOR_ROUND) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has (uid, id, n_words, kept_sha256 of the whole text) of each row; spans has
     (uid, start, end) of the words that are covered by a window which also starts in a text with a
     smaller id.
 
-    Long symbols that also occur in a text with a smaller id are removed at once. Windows that touch
-    a word which is left over then, and whose anchor occurs in a smaller id, are looked up by their
-    128-bit hashes among all windows with these anchors. Every step groups by a hash with a minimum
-    that is taken before the shuffle; no step pairs up the rows of a group.
+    Windows around one anchor (a context) travel together. Anchors of one id only are left out. A
+    context that a smaller id has too is removed whole. Of each context that is left, one is compared
+    with the other contexts of its anchor: all their windows are looked up by 128-bit hashes. Every
+    step groups by a hash with a minimum that is taken before the shuffle; no step pairs up the rows
+    of a group.
 
     A null id counts as larger than all. Rows equal in id and text get equal results, and do not
     repeat each other. Null texts have no words. No rows: no rows. Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text")).withColumn("uid", row_uid(F.col("id"), F.col("text")))
-    texts = materialize(map_batches(rows, lambda b: parsed(b, window), PARSED, rows=_ROWS), "symbols")
-    longs = texts.select("uid", "id", F.inline("longs"))
-    earliest = longs.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    spans = materialize(longs.join(earliest, ["k1", "k2"]).where("least < id").select("uid", "start", "end"), "spans")
-
-    ranges = texts.select("uid", "id", F.inline("anchors"))
-    seen = ranges.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    shared = materialize(ranges.join(seen, "key"), "anchors")
-    # the covered words of each text as disjoint spans in order
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "end"))),
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    covered = spans.groupBy("uid").agg(merged.alias("covered"))
-    inside = F.exists(F.col("covered"), lambda c: (c["start"] <= F.col("lo")) & (c["end"] >= F.col("hi") + window))
-    asked = materialize(shared.join(covered, "uid", "left").withColumn("open", (F.col("least") < F.col("id")) & ~F.coalesce(inside, F.lit(False))).select("uid", "id", "key", "lo", "hi", "open"), "asked")
-    wanted = asked.where("open").select("key").distinct()
-    per_text = asked.join(wanted, "key", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("lo", "hi", "open")).alias("ranges"))
-    looked = materialize(map_batches(rows.join(per_text, "uid"), lambda b: hashed_windows(b, window), "k1 long, k2 long, uid long, id long, at int, open boolean", rows=_ROWS), "windows")
-    first = looked.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    more = looked.where("open").join(first, ["k1", "k2"]).where("least < id").select("uid", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return texts.drop("anchors", "longs"), spans.unionByName(more)
+    texts = materialize(map_batches(rows, lambda b: parsed(b, window, turns), PARSED, rows=_ROWS), "symbols")
+    each = texts.select("uid", "id", F.inline("anchors"))
+    shared = each.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), (F.min("ctx") != F.max("ctx")).alias("differ")).where("least < most").drop("most")
+    live = materialize(each.join(materialize(shared, "shared"), "key"), "anchors")
+    alike = live.where("not differ and least < id").select("uid", "lo", "hi")
+    differ = live.where("differ")
+    first = materialize(differ.groupBy("key", "ctx").agg(F.min(F.struct("id", "uid", "lo", "hi", "least")).alias("m")), "contexts")
+    placed = differ.join(first.select("key", "ctx", F.col("m.id").alias("first_id")), ["key", "ctx"])
+    copied = placed.where("first_id < id").select("uid", "lo", "hi")
+    per_text = first.groupBy(F.col("m.uid").alias("uid")).agg(F.collect_set(F.struct("key", "ctx", "m.lo", "m.hi", (F.col("m.least") < F.col("m.id")).alias("open"))).alias("ranges"))
+    looked = materialize(map_batches(rows.join(per_text, "uid"), lambda b: hashed_windows(b, window), WINDOWS, rows=_ROWS), "windows")
+    earliest = looked.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    found = looked.where("open").join(earliest, ["k1", "k2"]).where("least < id").select("key", "ctx", "off")
+    part = placed.where("first_id = id").join(found, ["key", "ctx"]).select("uid", (F.col("lo") + F.col("off")).alias("lo"), (F.col("lo") + F.col("off")).alias("hi"))
+    spans = alike.unionByName(copied).unionByName(part).select("uid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
+    return texts.drop("anchors"), spans
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
