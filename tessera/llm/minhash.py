@@ -161,7 +161,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct = materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.bands"), "texts")
     placed = distinct.select("rep", F.posexplode("bands").alias("band", "key"))
     star = placed.groupBy("band", "key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    classes = components(placed.join(star, ["band", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    # a text and the smallest texts of its bands: one link from the text, and links among the smallest, which repeat
+    near = placed.join(star, ["band", "key"]).groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("others"))
+    links = near.select(F.col("rep").alias("a"), "b").unionByName(near.select(F.explode("others").alias("a"), "b").distinct())
+    classes = components(links.where("a <> b"))
     sizes = classes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = classes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
