@@ -284,7 +284,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = materialize(map_batches(rows, lambda b: contexts(b, window, gram), CONTEXTS, rows=_ROWS), "contexts")
     each = texts.select("uid", F.inline("contexts"))
     per_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).where("times > 1")
-    live = materialize(each.join(per_key.select("key", (F.col("one") != F.col("other")).alias("differ")), "key"), "live-contexts")
+    shared = materialize(per_key.select("key", (F.col("one") != F.col("other")).alias("differ")), "shared")  # a plain join of files can be split where a key is frequent
+    live = materialize(each.join(shared, "key"), "live-contexts")
     alike = live.where("not differ")
     differ = live.where("differ")
     tally = materialize(differ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "at", "lo", "hi")).alias("m")), "context-copies")
