@@ -85,7 +85,8 @@ def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray,
     is the hash of all words from the first window to the last.
 
     The anchor of a window is the symbol of the smallest hash among those that depend on words of the
-    window alone, so equal windows have equal anchors. A window without one is its own anchor."""
+    window alone, so equal windows have equal anchors; its key stands for the symbol and all those
+    words. A window without one is its own anchor."""
     total = len(w.hashes)
     n = np.diff(w.first)
     count = np.maximum(n - window + 1, 0)
@@ -113,8 +114,8 @@ def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (best[1:] != best[:-1]) | (best[1:] < 0) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
-    key = s.name[best[first]]
-    own = best[first] < 0
+    at, own = best[first], best[first] < 0
+    key = mixed(s.name[at] + run_hashes(sums[1], np.maximum(s.near[at], 0), np.minimum(s.far[at], total), BASES[1]))
     key[own] = run_hashes(sums[1], p[first[own]], p[first[own]] + window, BASES[1]) ^ np.uint64(1)
     return key, run_hashes(sums[0], p[first], p[last] + window, BASES[0]), p[first], p[last]
 
