@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def is_usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def unit(rows: list) -> np.ndarray:
+def unit(rows: list | np.ndarray) -> np.ndarray:
     """The rows as unit vectors; each is scaled by its largest component first, so no square overflows."""
     x = np.array(rows, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -46,31 +47,107 @@ def keys(x: np.ndarray, cosine: float, projections: int, tables: int, seed: int
     return (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def compared(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """The links of one bucket, or of two blocks of one: (a, b null, n) says that vector a has n
-    links here that no earlier table shows; (a, b, 0) are links enough to connect what is linked."""
-    table, same_block = int(group["tab"].iloc[0]), group["bi"].iloc[0] == group["bj"].iloc[0]
-    group = group.sort_values("rep")
-    x, seen, ids, copies = unit(group["vec"].tolist()), np.array(group["ks"].tolist()), group["rep"].to_numpy(), group["copies"].to_numpy()
-    near = x @ x.T >= cosine
-    np.fill_diagonal(near, False)
-    if not same_block:
-        near &= group["block"].to_numpy()[:, None] != group["block"].to_numpy()[None, :]
-    new = near.copy()
-    for i, j in zip(*np.nonzero(np.triu(near)), strict=True) if near.sum() <= 4 * len(x) else ():
-        new[i, j] = new[j, i] = not (seen[i, :table] == seen[j, :table]).any()
-    if near.sum() > 4 * len(x):
-        for t in range(table):
-            new &= seen[:, t][:, None] != seen[:, t][None, :]
-    label = np.arange(len(x))  # rows are in the order of their ids
-    while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    n, moved = (new * copies[None, :]).sum(axis=1), label != np.arange(len(x))
-    return pd.concat([pd.DataFrame({"a": ids[n > 0], "b": None, "n": n[n > 0]}), pd.DataFrame({"a": ids[moved], "b": ids[label[moved]], "n": 0})]).astype({"a": "int64", "b": "Int64", "n": "int64"})
+GROUP = ("dim", "tab", "k", "bi", "bj")
+#: Buckets of at most so many vectors are compared many at a time, larger ones each by a matrix product.
+SMALL = 32
+#: Pairs that are compared at once.
+PAIRS = 1 << 16
+
+
+def pairs_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of the groups first..last (exclusive)."""
+    rows = np.repeat(first - np.concatenate([[0], np.cumsum(last - first)[:-1]]), last - first) + np.arange((last - first).sum())
+    after = np.repeat(last, last - first) - rows - 1
+    i = np.repeat(rows, after)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def compared(rows: pa.Table, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """The links of some buckets, or pairs of blocks of them, whose rows follow one another: for each
+    vector its number of links that no earlier table shows, and links enough to connect what is linked."""
+    dim, n = rows.column("dim")[0].as_py(), rows.num_rows
+    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    x, seen = unit(flat("vec")).reshape(n, dim), flat("ks")
+    ids, copies, block, table = (rows.column(c).to_numpy() for c in ("rep", "copies", "block", "tab"))
+    crossing = rows.column("bi").to_numpy() != rows.column("bj").to_numpy()
+    group = np.stack([rows.column(c).to_numpy() for c in GROUP])
+    first = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
+    last = np.append(first[1:], n)
+    total = np.zeros(n, np.int64)
+    root = np.arange(n)
+    links: list[tuple[int, int]] = []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    def connect(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = find(a), find(b)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(ids[a]), int(ids[b])))
+
+    small = last - first <= SMALL
+    i, j = pairs_of(first[small], last[small])
+    for lo in range(0, len(i), PAIRS):
+        a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+        near = (np.einsum("pd,pd->p", x[a], x[b]) >= cosine) & ~(crossing[a] & (block[a] == block[b]))
+        a, b = a[near], b[near]
+        new = ~((seen[a] == seen[b]) & (np.arange(seen.shape[1]) < table[a][:, None])).any(axis=1)
+        np.add.at(total, a[new], copies[b[new]])
+        np.add.at(total, b[new], copies[a[new]])
+        connect(a, b)
+    for lo, hi in zip(first[~small], last[~small], strict=True):
+        near = x[lo:hi] @ x[lo:hi].T >= cosine
+        if crossing[lo]:
+            near &= block[lo:hi][:, None] != block[lo:hi][None, :]
+        np.fill_diagonal(near, False)
+        new = near.copy()
+        for t in range(table[lo]):
+            new &= seen[lo:hi, t][:, None] != seen[lo:hi, t][None, :]
+        total[lo:hi] += (new * copies[lo:hi][None, :]).sum(axis=1)
+        label = np.arange(hi - lo)
+        while True:
+            least = np.minimum(label, np.where(near, label[None, :], hi - lo).min(axis=1))
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        links += [(int(ids[lo + v]), int(ids[lo + label[v]])) for v in np.flatnonzero(label != np.arange(hi - lo))]
+    counts: dict[int, int] = {}
+    for v in np.flatnonzero(total):
+        counts[int(ids[v])] = counts.get(int(ids[v]), 0) + int(total[v])
+    return counts, links
+
+
+def compared_groups(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, n) of rows that come in groups: b null, or n 0. A group may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        dims = rows.column("dim").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            counts, links = compared(rows.slice(lo, hi - lo), cosine)
+            columns = [*counts, *(a for a, _ in links)], [*([None] * len(counts)), *(b for _, b in links)], [*counts.values(), *([0] * len(links))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
+
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        same = np.ones(rows.num_rows, bool)
+        for c in GROUP:
+            of = rows.column(c).to_numpy()
+            same &= of == of[-1]
+        done = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if done:
+            yield from flush(rows.slice(0, done))
+            held = rows.slice(done).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield from flush(pa.Table.from_batches(held))
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, projections: int = PROJECTIONS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
@@ -108,7 +185,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     dealt = chosen.withColumn("block", F.pmod(F.xxhash64("rep", "tab"), F.col("blocks")).cast("int")).withColumn("other", other)
     dealt = dealt.select("rep", "dim", "tab", "k", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     full = dealt.join(known.select("rep", "vec", "ks", "copies"), "rep")
-    found = materialize(full.groupBy("dim", "tab", "k", "bi", "bj").applyInPandas(lambda g: compared(g, cosine), "a long, b long, n long"), "vector-links")
+    met = full.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = materialize(met.mapInArrow(lambda batches: compared_groups(batches, cosine), "a long, b long, n long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     parts = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     classes = known.select("vec", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
