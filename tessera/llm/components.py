@@ -11,19 +11,27 @@ from tessera.session import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component is the smallest node reached.
 
-    Each round every node takes the smallest label among itself, its neighbours and its label's
-    label, so the rounds grow with the logarithm of the longest path. All grouping is a minimum, which
-    is taken before the shuffle, and a node with very many links is split by the skew join. Each
-    round is written, so a lost executor costs tasks of one round. Null ends are passed over.
+    A round moves every node to the smallest of its neighbours and itself, and on to where that one
+    moves; links then join what their ends have moved to, and those within one node go. So links
+    become fewer from round to round, and the rounds grow with the logarithm of the longest path. All
+    grouping is a minimum, which is taken before the shuffle, and a node with very many links is
+    split by the skew join. Each round is written, so a lost executor costs tasks of one round. Null
+    ends are passed over.
     """
-    both = edges.where("a is not null and b is not null").select("a", "b")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
+    links = materialize(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        after = materialize(stepped.join(roots, "component").select("node", "old", F.least("component", "root").alias("component")), "labels")
-        labels = after.select("node", "component")
-        if after.where("old <> component").isEmpty():
+        ends = links.select(F.col("a").alias("node"), F.col("a").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        moves = materialize(ends.groupBy("node").agg(F.min("to").alias("to")), "moves")
+        further = moves.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        moves = materialize(moves.join(further, "to").select("node", F.col("further").alias("to")), "moves")
+        if labels is None:
+            labels = moves.withColumnRenamed("to", "component")
+        else:
+            after = labels.join(moves.select(F.col("node").alias("component"), "to"), "component", "left")
+            labels = materialize(after.select("node", F.coalesce("to", "component").alias("component")), "labels")
+        moved = lambda end: moves.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        joined = links.where("a < b").join(moved("a"), "a").join(moved("b"), "b").where("a_to <> b_to")
+        links = materialize(joined.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "links")
+        if links.isEmpty():
             return labels
