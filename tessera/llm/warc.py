@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import materialize, shared_dir
 
 END = "\r\n"
 #: Payloads of fewer bytes are never replaced by a revisit record.
@@ -39,9 +39,9 @@ def store(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    chosen = first.select(F.col("digest").alias("of"), "first")
-    once = rows.join(chosen, (F.col("digest") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("first")), "left_semi")
-    once.dropDuplicates(["digest", "page_id"]).select("digest", F.col("payload").cast("binary").alias("payload")).write.mode("overwrite").parquet(f"{path}/payloads")
+    # equal payloads are one before they are shuffled, so a very frequent one is no burden
+    once = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
+    once.select("digest", F.col("payload").cast("binary").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
     revisit = (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size").cast("string"))
@@ -126,7 +126,7 @@ def resolved(found: DataFrame) -> DataFrame:
     sound = F.when(F.concat(F.lit("sha256:"), digest) == F.col("payload_digest"), digest).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id"))))
     page = F.col("page_id").cast("long")
     # payloads end here
-    slim = found.select("warc_type", "record_id", "refers_to", page.alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("warc_type") == "response", sound).alias("payload_digest"))
+    slim = materialize(found.select("warc_type", "record_id", "refers_to", page.alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("warc_type") == "response", sound).alias("payload_digest")), "records")
     responses = slim.where("warc_type = 'response'")
     by_id = responses.groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("of"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
     revisits = slim.where("warc_type = 'revisit'").select("page_id", "refers_to").join(by_id, "refers_to", "left")
@@ -141,5 +141,4 @@ def round_trip(pages: DataFrame, path: str | None = None, **names: str) -> DataF
     path = path or f"{shared_dir(spark)}/tessera/archive-{uuid.uuid4().hex}"
     store(pages, path, **names)
     write_files(records(spark, path), f"{path}/warc")
-    slim = resolved(read_files(spark, f"{path}/warc"))
-    return slim
+    return resolved(read_files(spark, f"{path}/warc"))
