@@ -15,8 +15,9 @@ from tessera.functions.values import split_unit
 def group_key(table: DataFrame, names: list[str]) -> Column | None:
     """``Name=value | Name=value`` of the named columns (unit and case don't count, the last of equal
     headers does); unknown names are passed over, and None means that no name is known."""
-    known = {split_unit(c)[0].strip().lower(): c for c in table.columns}
-    parts = [F.concat(F.lit(f"{n.strip()}="), safe_value(trim_all(F.coalesce(F.col(f"`{known[n.strip().lower()]}`").cast("string"), F.lit(""))))) for n in names if n.strip().lower() in known]
+    known = {split_unit(c)[0].lower(): c for c in table.columns}
+    asked = [known[n.strip().lower()] for n in names if n.strip().lower() in known]
+    parts = [F.concat(F.lit(f"{split_unit(c)[0]}="), safe_value(trim_all(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))))) for c in asked]
     return F.concat_ws(" | ", *parts) if parts else None
 
 

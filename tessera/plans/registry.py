@@ -174,7 +174,7 @@ def text_examples(read, spark):
     return profile.text_examples(read("documents"), "text", ["doc_id"])
 
 
-KEY_SQL = "'O_OrderStatus=' || o_orderstatus || ' | o_orderpriority=' || o_orderpriority"
+KEY_SQL = "'o_orderstatus=' || o_orderstatus || ' | o_orderpriority=' || o_orderpriority"
 
 
 def keyed(read):

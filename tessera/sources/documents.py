@@ -10,6 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import normalize_markdown, strip_tags
 from tessera.operators import report
@@ -22,7 +23,7 @@ TABLES = (".csv", ".tsv", ".xlsx")
 MOST_REPORT = 100_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _word_xml(contents: pd.Series) -> pd.Series:
     def xml(content: bytes) -> str:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
