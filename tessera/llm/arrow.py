@@ -22,6 +22,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
             out = function(batch)
             if out is not None and out.num_rows:
                 yield out
+            del batch, out
+            pa.default_memory_pool().release_unused()  # a worker lives on; what one long text took should not
 
     return df.mapInArrow(run, schema)
 

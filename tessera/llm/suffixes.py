@@ -28,9 +28,9 @@ SLOTS = (84, 12, 1)
 #: Different segments of a slot that go into one transform; slots with more go to the next round.
 GROUP = 256
 #: Bytes of a transform (a group at least).
-TRANSFORM = 2 << 20
+TRANSFORM = 1 << 20
 _INDEX = np.uint64((1 << 24) - 1)
-_PART = 1 << 19
+_PART = 1 << 18
 _ROWS = 64
 
 
@@ -201,6 +201,7 @@ def transforms(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Ite
     for batch in batches:
         held.append(batch)
         size += batch.column("segment").nbytes
+        del batch
         if size >= TRANSFORM:
             rows = pa.Table.from_batches(held).combine_chunks()
             slot = rows.column("slot").to_numpy()
