@@ -1,4 +1,3 @@
-import io
 import statistics
 import zipfile
 
