@@ -33,6 +33,12 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def lists(of: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
+    """A list of structs for each of n texts; ``of`` (sorted) is each struct's text."""
+    structs = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), structs)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text leaves 0 when divided by 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0

@@ -3,7 +3,8 @@
 A text is a row of word symbols. A round first gives every maximal run of one symbol a name, then
 splits all symbols in two sides by a hash and names every neighbouring pair of a left and a right
 symbol. A name is a hash of what it stands for, so all tasks give equal runs and pairs the same name
-without a dictionary, and equal passages get the same symbols but for a few at their ends.
+without a dictionary, and equal passages get the same symbols but for a few at their ends. Symbols that two
+texts share lead to the passages they may share, which are then compared exactly.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import map_batches, mixed
+from tessera.llm.arrow import lists, map_batches, mixed
 from tessera.llm.tokens import BASES, Words, prefix_sums, run_hashes, words
 from tessera.session import materialize
 
 WINDOW = 50
-#: After so many rounds a symbol stands for three words on average, and depends on about twenty.
+#: After so many rounds a symbol stands for three words on average, and depends on about twenty: most
+#: windows of fifty have several symbols that depend on nothing outside the window.
 ANCHOR_ROUND = 4
 _INDEX = np.uint64((1 << 24) - 1)
 _ROWS = 64
@@ -120,12 +122,6 @@ def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray,
     return key, run_hashes(sums[0], p[first], p[last] + window, BASES[0]), p[first], p[last]
 
 
-def lists(of: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
-    """A struct list for each of n texts; ``of`` (sorted) is each entry's text."""
-    structs = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), structs)
-
-
 PARSED = "uid long, id long, n_words long, kept_sha256 string, anchors array<struct<key:long,ctx:long,lo:int,hi:int>>"
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import map_batches, mixed
+from tessera.llm.arrow import lists, map_batches, mixed
 from tessera.llm.tokens import _BYTES, BASES, chunks, prefix_sums, run_hashes, utf8
 from tessera.session import materialize
 
@@ -34,11 +34,6 @@ _PART = 1 << 18
 _ROWS = 64
 
 
-def lists(of: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
-    structs = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), structs)
-
-
 def contexts(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
     """Each text's contexts: windows lo..hi (by their first bytes) whose anchor is the gram at ``at``;
     ``key`` is the hash of the gram, ``ctx`` that of all bytes from the first window to the last."""
