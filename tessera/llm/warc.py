@@ -97,7 +97,7 @@ def parsed(data: bytes):
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files in a folder, compressed or not; a file is read by one task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a partition holds so many bytes of files as one of any scan
     names, kinds = zip(*(x.split() for x in RECORD.split(", ")), strict=True)
     schema = pa.schema([(n, pa.large_binary() if k == "binary" else pa.large_string()) for n, k in zip(names, kinds, strict=True)])
 

@@ -1,16 +1,100 @@
-"""The pipeline's stages in a row, on the smallest tables."""
+"""The pipeline's stages, each on its own input, against brute force on the smallest tables."""
+
+import re
+
+import pytest
 
 import corpus_pipeline
+from tessera.llm import quality
+from tessera.session import materialize
 
 SF = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def test_stages(spark):
+@pytest.fixture(scope="module")
+def steps(spark):
+    """The documents and what each stage makes of those before."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == columns, name
-        assert 0 < docs.count() <= n
-        n = docs.count()
-    assert corpus_pipeline.run(spark, SF).count() == n
+    made = {"documents": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = made[name] = materialize(stage(spark, docs, SF), f"test-{name}")
+    return made
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+
+
+def test_columns(steps):
+    for name in list(STAGES)[:-1]:
+        assert steps[name].columns == steps["documents"].columns
+
+
+def test_quality_rejects(spark, steps):
+    docs = steps["documents"]
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    bad = {r["id"] for r in quality.scored(docs, model).where("score < 0.3").collect()}
+    assert bad and set(texts(steps["quality"])) == set(texts(docs)) - bad
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert sum(labels[i] != (i not in bad) for i in labels) <= 0.1 * len(labels)
+
+
+def test_one_of_each_class_stays(steps):
+    before, after = texts(steps["quality"]), texts(steps["near_copies"])
+    sets = {}
+    for i, t in before.items():
+        w = WORD.findall(t.encode())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}
+    label = {i: i for i in sets}
+    for _ in range(4):
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if x and len(x & y) >= 0.8 * len(x | y):
+                    label[i] = min(label[i], label[j])
+    assert set(after) == {i for i in label if label[i] == i} and all(after[i] == before[i] for i in after)
+
+
+def test_repeats_are_cut(steps):
+    before, after = texts(steps["near_copies"]), texts(steps["repeats"])
+    seen = {}
+    for t in before.values():
+        raw = t.encode()
+        for k in range(len(raw) - 399):
+            seen[raw[k : k + 400]] = seen.get(raw[k : k + 400], 0) + 1
+    for i, t in before.items():
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 399):
+            if seen[raw[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        assert after[i] == bytes(c for c, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+    assert all(r["n_chars"] == len(r["text"]) for r in steps["repeats"].collect())
+
+
+def test_contaminated_documents_go(spark, steps):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    items = [low(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {tuple(y[k : k + min(13, len(y))]) for y in items if y for k in range(len(y) - min(13, len(y)) + 1)}
+    clean = set()
+    for i, t in texts(steps["repeats"]).items():
+        w, hit = low(t), set()
+        for n in {len(g) for g in grams}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in grams:
+                    hit.update(range(k, k + n))
+        if not hit or 20 * len(hit) < len(w):
+            clean.add(i)
+    assert set(texts(steps["decontaminate"])) == clean
+
+
+def test_mix_reaches_targets(spark, steps):
+    found = steps["mix"].collect()
+    assert {r["doc_id"] for r in found} == set(texts(steps["decontaminate"]))
+    taken, largest = {}, max(r["size"] for r in found)
+    for r in found:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= largest for r in found)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, found))
