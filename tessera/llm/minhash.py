@@ -102,14 +102,16 @@ def shared(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
     return total
 
 
-def linked(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], within: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links (smaller, larger id) that connect what is similar in one block, or between two."""
+def linked(ids: np.ndarray, part: np.ndarray, block: np.ndarray, sets: list[np.ndarray], within: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links (smaller, larger id) that connect what is similar in one block, or between two. Texts of
+    one ``part`` are connected already."""
     order = np.argsort(ids)
-    ids, block, sets = ids[order], block[order], [sets[i] for i in order]
+    ids, part, block, sets = ids[order], part[order], block[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets], np.float32)
     both = shared(sets)
     close = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-4
-    root = list(range(len(ids)))
+    _, first, inverse = np.unique(part, return_index=True, return_inverse=True)
+    root = first[inverse].tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -132,10 +134,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alignments of their word shingles at ``similarity`` or more.
 
     Equal texts are one text. Distinct ones are sketched where they lie; those that share a band, and
-    those connected that way, form a candidate class. Classes are dealt out in pairs of blocks, so
-    that a task sees at most two blocks; it counts shared shingles of all pairs by a matrix product,
-    aligns those that can reach the similarity unless they are connected already, and gives the links
-    it used. Links are joined into components in rounds.
+    those connected that way, form a candidate class. First each text is compared once with the
+    smallest text of its bands, together with some others of that text, which connects most copies
+    into parts. A class that is one part is done. Of the others the largest part needs no comparison
+    within itself: what is outside it is dealt out in blocks and compared, as pairs of blocks, with
+    itself and with the largest part, so a group of copies is not multiplied by its own size. A task
+    sees at most two blocks; it counts shared shingles of all pairs by a matrix product, aligns those
+    that can reach the similarity unless they are connected already, and gives the links it used.
+    Links are joined into components in rounds.
 
     Null texts and texts without words link with nothing. Texts of fewer words than a shingle have
     one shingle of all words. component_id is the smallest id reached. Rows equal in id and text
@@ -161,16 +167,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct = materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.bands"), "texts")
     placed = distinct.select("rep", F.posexplode("bands").alias("band", "key"))
     star = placed.groupBy("band", "key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a text and the smallest texts of its bands: one link from the text, and links among the smallest, which repeat
-    near = placed.join(star, ["band", "key"]).groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("others"))
-    links = near.select(F.col("rep").alias("a"), "b").unionByName(near.select(F.explode("others").alias("a"), "b").distinct())
-    classes = components(links.where("a <> b"))
-    sizes = classes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = classes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("node").alias("rep"), "component", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(distinct.select("rep", "text_key"), "rep")
+    near = materialize(placed.join(star, ["band", "key"]).groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("others")), "near")
     whole = rows.withColumn("whole_key", key)
-    candidates = whole.join(dealt, (F.col("id") == F.col("rep")) & (F.col("whole_key") == F.col("text_key"))).select("rep", "text", "component", "block", "bi", "bj")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -180,16 +178,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for w in words(group.column("text").combine_chunks()):
             labels, first = shingles(w, k)
             sets += np.split(labels, first[1:-1])
-        found = linked(ids, group.column("block").to_numpy(), sets, group.column("bi")[0] == group.column("bj")[0], similarity)
+        within = group.column("bi")[0] == group.column("bj")[0]
+        found = linked(ids, group.column("part").to_numpy(), group.column("block").to_numpy(), sets, within, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = candidates.groupBy("component", "bi", "bj").applyInArrow(compare, "a long, b long")
-    parts = components(links)
+    def compared(dealt: DataFrame) -> DataFrame:
+        """Links (a, b) within blocks (bi = bj) and between two, from (rep, component, part, block, bi, bj)."""
+        keyed = dealt.join(distinct.select("rep", "text_key"), "rep")
+        candidates = whole.join(keyed, (F.col("id") == F.col("rep")) & (F.col("whole_key") == F.col("text_key"))).select("rep", "text", "component", "part", "block", "bi", "bj")
+        return materialize(candidates.groupBy("component", "bi", "bj").applyInArrow(compare, "a long, b long"), "similar")
+
+    blocks_of = lambda n: F.ceil(n / block).cast("int")
+    place = lambda of, blocks: F.pmod(F.xxhash64(of), F.col(blocks)).cast("int")
+    # each text once, with the smallest text of its bands; that one goes with every block of its texts
+    members = near.where("rep <> b").select("rep", F.col("b").alias("component"))
+    sizes = members.groupBy("component").agg(blocks_of(F.count(F.lit(1))).alias("blocks"))
+    around = members.join(sizes, "component").select("rep", "component", place("rep", "blocks").alias("block"))
+    centers = sizes.select(F.col("component").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = around.unionByName(centers).select("rep", "component", F.col("rep").alias("part"), "block", F.col("block").alias("bi"), F.col("block").alias("bj"))
+    links = compared(dealt)
+    # one link from a text to the smallest text of its bands, and links among the smallest, which repeat
+    shared_bands = near.select(F.col("rep").alias("a"), "b").unionByName(near.select(F.explode("others").alias("a"), "b").distinct())
+    classes = components(shared_bands.where("a <> b"))
+    parts = components(links).select("node", F.col("component").alias("part"))
+    parted = materialize(classes.join(parts, "node", "left").select("node", "component", F.coalesce("part", "node").alias("part")), "parts")
+    counted = parted.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("component").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    largest = largest.select("component", F.col("top.part").alias("top"), blocks_of(F.col("n") - F.col("top.n")).alias("rest"), blocks_of(F.col("top.n")).alias("most"))
+    # blocks 0 .. rest - 1 are outside the largest part, the following ones of it
+    in_top = F.col("part") == F.col("top")
+    dealt = parted.join(largest, "component").withColumn("block", F.when(in_top, F.col("rest") + place("node", "most")).otherwise(place("node", "rest")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("most")))))
+    dealt = dealt.select(F.col("node").alias("rep"), "component", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    parts = components(links.unionByName(compared(dealt)))
     reps = distinct.select("text_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("text_key").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     joined = sketches.where("bands is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = sketches.where("bands is null").select("id", "text_key", F.col("id").alias("component_id"))
     return joined.unionByName(alone).select("id", "text_key", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are: that with the
     smallest id, and of rows equal in id and text one. Rows with a null id stay."""
