@@ -50,7 +50,7 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Sit
 
 
 def test_main_text(spark):
-    assert html.extracted(PAGE, frozenset()) == "Head & more\nFirst one goes on\nSecond boldly\na\nb"
+    assert html.extracted(PAGE, []) == "Head & more\nFirst one goes on\nSecond boldly\na\nb"
     # without an article, what a host's pages have in common is no text of theirs
     body = "<html><body><div><span>Daily News</span></div><div><p>{}</p><p>{}</p></div><div>Imprint</div></body></html>"
     rows = [(i, f"http://h.example/{i}", body.format(f"Story {i}", f"More {i}")) for i in range(6)]
@@ -61,6 +61,20 @@ def test_main_text(spark):
     assert found[9]["text"] == "Daily News\nStory 0\nMore 0\nImprint" and len(found) == len(rows)
 
 
+def test_classes_match_in_order_only():
+    assert html.matched([5, 1, 2, 9, 3, 1], [[1, 2, 3], [9, 5], [5, 9], [7, 8]]) == {1, 2, 3, 5, 9}
+    assert html.matched([2, 1], [[1, 2]]) == set() and html.matched([], [[1, 2]]) == set()
+
+
+def test_a_class_out_of_order_stays_on_its_page(spark):
+    """Two lines that all pages have belong to the template, but not on the page that turns them round."""
+    body = "<html><body><div><p>{}</p><h2>{}</h2></div><div><h3>Story {}</h3></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", body.format("Alpha", "Beta", i)) for i in range(8)]
+    rows.append((8, "http://h.example/8", "<html><body><div><h2>Beta</h2><p>Alpha</p></div><div><h3>Story 8</h3></div></body></html>"))
+    found = {x["id"]: x["text"] for x in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i}" for i in range(8)) and found[8] == "Beta\nAlpha\nStory 8"
+
+
 def test_warc_round_trip(spark, tmp_path):
     long, tricky = "<p>" + "x" * 200, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5
     rows = [(1, "u", long), (2, "u", long), (3, None, None), (4, "a\r\nb", ""), (5, "é", "é" * 60), (6, "é", "é" * 60), (7, "t", tricky), (8, "t", tricky), (9, "s", "short"), (10, "s", "short"), (11, "l", "y" * 300_000), (2, "u", long), (None, "u", long)]
