@@ -44,6 +44,11 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
+def row_uid(id_: Column, text: Column) -> Column:
+    """16 bytes that stand for a row's id and text: too many for two rows of any corpus to meet by chance."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit integers stirred so that every bit of the input touches all bits (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import lists, map_batches, mixed
+from tessera.llm.arrow import lists, map_batches, mixed, row_uid
 from tessera.llm.tokens import BASES, Words, prefix_sums, run_hashes, words
 from tessera.session import materialize
 
@@ -122,7 +122,7 @@ def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray,
     return key, run_hashes(sums[0], p[first], p[last] + window, BASES[0]), p[first], p[last]
 
 
-PARSED = "uid long, id long, n_words long, kept_sha256 string, anchors array<struct<key:long,ctx:long,lo:int,hi:int>>"
+PARSED = "uid binary, id long, n_words long, kept_sha256 string, anchors array<struct<key:long,ctx:long,lo:int,hi:int>>"
 
 
 def parsed(batch: pa.RecordBatch, window: int, turns: int) -> pa.RecordBatch:
@@ -175,10 +175,6 @@ def without(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(removed, pa.int64()), pa.array(digests), pa.array(kept, pa.string())], ["uid", "n_removed", "kept_sha256", "kept_text"])
 
 
-def row_uid(id_: Column, text: Column) -> Column:
-    return F.xxhash64(id_, F.coalesce(text, F.lit("")), F.lit(4))
-
-
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, turns: int = ANCHOR_ROUND) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has (uid, id, n_words, kept_sha256 of the whole text) of each row; spans has
     (uid, start, end) of the words that are covered by a window which also starts in a text with a
@@ -219,7 +215,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     per_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     big = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(row_uid(big, F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    cut = map_batches(rows.join(per_text, "uid"), without, "uid long, n_removed long, kept_sha256 string, kept_text string", rows=_ROWS)
+    cut = map_batches(rows.join(per_text, "uid"), without, "uid binary, n_removed long, kept_sha256 string, kept_text string", rows=_ROWS)
     cut = cut.groupBy("uid").agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha256").alias("cut_sha256"), F.first("kept_text").alias("kept_text"))
     done = texts.join(cut, "uid", "left")
     return done.select(F.when(F.col("id") < (1 << 63) - 1, F.col("id")).alias("id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")

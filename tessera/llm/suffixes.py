@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import lists, map_batches, mixed
+from tessera.llm.arrow import lists, map_batches, mixed, row_uid
 from tessera.llm.tokens import _BYTES, BASES, chunks, prefix_sums, run_hashes, utf8
 from tessera.session import materialize
 
@@ -71,7 +71,7 @@ def contexts(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(digests), pa.concat_arrays(found)], ["uid", "id", "n_bytes", "kept_sha256", "contexts"])
 
 
-CONTEXTS = "uid long, id long, n_bytes long, kept_sha256 string, contexts array<struct<key:long,ctx:long,at:int,lo:int,hi:int>>"
+CONTEXTS = "uid binary, id long, n_bytes long, kept_sha256 string, contexts array<struct<key:long,ctx:long,at:int,lo:int,hi:int>>"
 SEGMENT = "key long, ctx long, copies long, x int, segment binary"
 
 
@@ -246,10 +246,6 @@ def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...]
     return out
 
 
-def row_uid(id_: Column, text: Column) -> Column:
-    return F.xxhash64(id_, F.coalesce(text, F.lit("")), F.lit(9))
-
-
 def without(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Texts without the bytes of their spans (start, end)."""
     rows = []
@@ -264,7 +260,7 @@ def without(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = reach = max(at, span[1])
         rest = b"".join([*kept, raw[at:]])
         rows.append((uid, removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n_removed", "n_spans", "cut_sha256", "kept_text"])
 
 
@@ -293,7 +289,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     copied = differ.join(tally.where("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
     spans = alike.unionByName(copied).select("uid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")).unionByName(more)
     per_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    done = map_batches(rows.select("uid", "text").join(per_text, "uid"), without, "uid long, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
+    done = map_batches(rows.select("uid", "text").join(per_text, "uid"), without, "uid binary, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
     done = done.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "cut_sha256", "kept_text")))
     zero = F.lit(0).cast("long")
     return texts.drop("contexts").join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
