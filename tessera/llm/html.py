@@ -146,14 +146,16 @@ def matched(found: list[int], classes: list[list[int]]) -> set[int]:
 
 
 def extracted(page: str, classes: list[list[int]]) -> str:
-    """The text in the slots of a page: blocks that are neither boilerplate nor tokens of the template.
-    Of a page with an article, the article's blocks; the template then names what is outside it."""
+    """The text in the slots of a page: blocks that are neither boilerplate nor tokens of the template,
+    in an article or outside. The article element chooses among the slots: if a page has text in one,
+    only slots in it count. A template that leaves nothing of an article is not usable on that page."""
     found = blocks(page)
-    if any(text and main and not bad for _, text, main, bad in found):
-        return "\n".join(text for _, text, main, bad in found if text and main and not bad)
-    names = [hashed(token(path, text)) for path, text, _, _ in found]
-    template = matched(names, classes) if classes else set()
-    return "\n".join(text for (_, text, _, bad), name in zip(found, names, strict=True) if text and not bad and name not in template)
+    names = [hashed(token(path, text)) if classes else 0 for path, text, _, _ in found]
+    template = matched(names, classes)
+    article = any(text and main and not bad for _, text, main, bad in found)
+    own = [(text, name in template) for (_, text, main, bad), name in zip(found, names, strict=True) if text and not bad and (main or not article)]
+    slots = [text for text, fixed in own if not fixed]
+    return "\n".join(slots if slots or not article else [text for text, _ in own])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def templates(pages: DataFrame) -> DataFrame:
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         host, page, name, times, place = [], [], [], [], []
         for h, p, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-            found = [hashed(token(path, text)) for path, text, main, _ in blocks(html or "") if not (main and text)]
+            found = [hashed(token(path, text)) for path, text, _, _ in blocks(html or "")]
             where = {t: i for i, t in reversed(list(enumerate(found)))}
             for t, n in Counter(found).items():
                 host.append(h)
@@ -202,8 +204,10 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", host)
-    # of equal pages of a host one counts, else copies of an article would look like a template
-    distinct = rows.withColumn("page", F.xxhash64("html")).groupBy("host", "page").agg(F.min("html").alias("html"))
+    # of a host's pages with equal articles one counts, else copies of an article would look like a template
+    article = F.regexp_extract(F.regexp_extract("html", r"(?is)<(?:article|main)\b.*", 0), r"(?is)^<[^>]*>(.*)</(?:article|main)\b", 1)
+    has_text = F.regexp_replace(article, r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|\s+", "") != ""
+    distinct = rows.withColumn("page", F.xxhash64(F.when(has_text, article).otherwise(F.col("html")))).groupBy("host", "page").agg(F.min("html").alias("html"))
     found = materialize(templates(distinct), "templates").withColumnRenamed("host", "of")
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -75,6 +75,19 @@ def test_a_class_out_of_order_stays_on_its_page(spark):
     assert all(found[i] == f"Story {i}" for i in range(8)) and found[8] == "Beta\nAlpha\nStory 8"
 
 
+def test_a_template_names_text_inside_articles(spark):
+    """What a host repeats inside its articles is the template's; articles that are copies are not."""
+    body = "<html><body><script>{0}</script><nav>Menu</nav><article><h1>Story {1}</h1><p>More {1}</p><div>Read us daily</div></article><footer>F</footer></body></html>"
+    rows = [(i, f"http://h.example/{i}", body.format(i, i)) for i in range(6)]
+    rows += [(10 + i, f"http://copies.example/{i}", body.format(i, 0)) for i in range(6)]
+    rows += [(20 + i, f"http://few.example/{i}", body.format(i, i)) for i in range(2)]
+    rows += [(30 + i, f"http://same.example/{i}", f"<html><body><article><p>Same</p></article><p>{i}</p></body></html>".replace("<article>", "<article>" + " " * i)) for i in range(4)]
+    found = {x["id"]: x["text"] for x in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i}\nMore {i}" for i in range(6))
+    assert all(found[10 + i] == "Story 0\nMore 0\nRead us daily" for i in range(6))
+    assert all(found[20 + i] == f"Story {i}\nMore {i}\nRead us daily" for i in range(2)) and all(found[30 + i] == "Same" for i in range(4))
+
+
 def test_warc_round_trip(spark, tmp_path):
     long, tricky = "<p>" + "x" * 200, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5
     rows = [(1, "u", long), (2, "u", long), (3, None, None), (4, "a\r\nb", ""), (5, "é", "é" * 60), (6, "é", "é" * 60), (7, "t", tricky), (8, "t", tricky), (9, "s", "short"), (10, "s", "short"), (11, "l", "y" * 300_000), (2, "u", long), (None, "u", long)]
