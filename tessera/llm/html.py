@@ -22,13 +22,17 @@ RAW = frozenset("script style textarea title xmp noscript template iframe".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: Elements without article text, and words of a class, id or role that mark such an element.
-DROPPED = frozenset("head script style noscript template iframe nav footer aside form menu button select textarea input svg canvas object dialog title".split())
+DROPPED = frozenset("head script style noscript template iframe nav footer aside menu button select textarea input svg canvas object dialog title".split())
 BOILERPLATE = frozenset("""
 ad ads adbox advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments comentarios
 consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr kommentare login masthead menu modal nav
 navbar navbox navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related reply
 respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription syndication toolbar widget widgets
 """.split())
+#: First words of a class that tell of a layout ("has-sidebar", "no-comments"), as a last "free" does ("ad-free").
+STATES = frozenset("has have no non not with without".split())
+#: What marks a block: nothing, a form around it, a word of a class, id or role, or a tag without article text.
+NONE, FORM, WORD, TAGGED = range(4)
 #: The same outside an article only: an article has a header of its own.
 OUTER = frozenset({"header"})
 MAIN = frozenset({"article", "main"})
@@ -38,28 +42,36 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 SCOPE = frozenset("article main section div table ul ol dl td th body html aside nav footer header form blockquote".split())
 
 
-def is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+def names_boilerplate(value: str, words: frozenset[str]) -> bool:
+    """Whether a name in a class, id or role has one of the words, unless it tells of a layout."""
+    parts = [re.split(r"[^a-z0-9]+", name) for name in value.split()]
+    return any(not words.isdisjoint(x) and x[0] not in STATES and x[-1] != "free" for x in parts)
+
+
+def mark(tag: str, attributes: str, in_main: bool) -> int:
+    """What an element marks all below it with, as far as no article stands between."""
     if tag in DROPPED or tag in OUTER and not in_main:
-        return True
+        return TAGGED
+    found = FORM if tag == "form" else NONE
     if not attributes or tag in MAIN or tag in ("html", "body"):
-        return False
+        return found
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "").lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name != "style" and not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name != "style" and not in_main and not OUTER.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return TAGGED
+        if name != "style" and names_boilerplate(value, BOILERPLATE if in_main else BOILERPLATE | OUTER):
+            found = WORD
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, in article, boilerplate) of each tag (without text) and each block of text, in order.
+def blocks(page: str) -> list[tuple[str, str, bool, int]]:
+    """(path, text, in article, mark) of each tag (without text) and each block of text, in order.
 
-    Text is decoded and its white space is one blank. Inline tags don't part text."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in article, boilerplate
+    Text is decoded and its white space is one blank. Inline tags don't part text.
+    A form around an article doesn't mark it; a word of a wrapper's leaves it with FORM, so that an
+    article without such a wrapper goes before. In an article, a form marks as a word does."""
+    out: list[tuple[str, str, bool, int]] = []
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, NONE)]  # tag, path, in article, mark
     text: list[str] = []
     at, end = 0, len(page)
 
@@ -92,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag == "br":
             text.append(" ")
         if tag in INLINE and tag not in DROPPED:
-            if closing or not attributes or not is_boilerplate(tag, attributes, stack[-1][2]):
+            if closing or not attributes or not mark(tag, attributes, stack[-1][2]):
                 if closing and stack[-1][0] == tag:
                     flush()
                     stack.pop()
@@ -107,8 +119,13 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             close({"p"}, SCOPE)
         if tag in CLOSES:
             close(CLOSES[tag], SCOPE)
-        _, path, in_main, dropped = stack[-1]
-        entry = (tag, f"{path}/{tag}", in_main or tag in MAIN, dropped or is_boilerplate(tag, attributes, in_main))
+        _, path, in_main, above = stack[-1]
+        own = mark(tag, attributes, in_main)
+        if in_main and own == FORM:
+            own = WORD
+        if tag in MAIN and not in_main and above != TAGGED:
+            above = FORM if above == WORD else NONE
+        entry = (tag, f"{path}/{tag}", in_main or tag in MAIN, max(above, own))
         out.append((entry[1] + (attributes.strip() and "[" + attributes.strip() + "]"), "", *entry[2:]))
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -146,16 +163,22 @@ def matched(found: list[int], classes: list[list[int]]) -> set[int]:
 
 
 def extracted(page: str, classes: list[list[int]]) -> str:
-    """The text in the slots of a page: blocks that are neither boilerplate nor tokens of the template,
-    in an article or outside. The article element chooses among the slots: if a page has text in one,
-    only slots in it count. A template that leaves nothing of an article is not usable on that page."""
+    """The text in the slots of a page: blocks that are not tokens of the template, in an article or
+    outside. The article element and the marks choose among the slots: those of articles go before
+    those outside, then unmarked ones before marked ones, which count only where no others have text.
+    A template that leaves nothing of the articles is not usable on that page. What no article holds
+    counts if it is in a form, too, when most of it is (a form around the whole page)."""
     found = blocks(page)
     names = [hashed(token(path, text)) if classes else 0 for path, text, _, _ in found]
     template = matched(names, classes)
-    article = any(text and main and not bad for _, text, main, bad in found)
-    own = [(text, name in template) for (_, text, main, bad), name in zip(found, names, strict=True) if text and not bad and (main or not article)]
-    slots = [text for text, fixed in own if not fixed]
-    return "\n".join(slots if slots or not article else [text for text, _ in own])
+    own = [(text, name in template, main, marked) for (_, text, main, marked), name in zip(found, names, strict=True) if text and marked != TAGGED]
+    slots = [x for x in own if not x[1]]
+    size = [sum(len(text) for text, _, main, marked in slots if not main and marked == m) for m in (NONE, FORM)]
+    outer = (NONE, FORM) if size[1] > size[0] else (NONE,)
+    for among, inside, marks in ((slots, True, (NONE,)), (slots, True, (FORM,)), (own, True, (NONE,)), (own, True, (FORM,)), (slots, False, outer), (slots, True, (WORD,)), (slots, False, (FORM, WORD))):
+        if taken := [text for text, _, main, marked in among if main == inside and marked in marks]:
+            return "\n".join(taken)
+    return ""
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -88,6 +88,24 @@ def test_a_template_names_text_inside_articles(spark):
     assert all(found[20 + i] == f"Story {i}\nMore {i}\nRead us daily" for i in range(2)) and all(found[30 + i] == "Same" for i in range(4))
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div class="no-comments"', 'div id="ad-free"', 'div class="sidebar wide"', "form action=x"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_a_wrapper_does_not_empty_a_page(wrapper, inner):
+    page = f"<body><nav>Menu</nav><{wrapper}><{inner}><p>Story</p></{inner}></{wrapper.split()[0]}><footer>F</footer></body>"
+    assert html.extracted(page, []) == "Story"
+
+
+def test_marks_choose_among_slots(spark):
+    assert html.extracted('<main><p>Story</p><div class="comments"><article>I say</article></div></main><div class="related"><article>Other</article></div>', []) == "Story"
+    assert html.extracted('<div>A long story</div><div class="ad">Buy</div><form><p>Search</form>', []) == "A long story"
+    assert html.extracted("<h1>Site</h1><form><p>A story of some length</p></form>", []) == "Site\nA story of some length"
+    assert html.extracted('<div style="display:none"><article>No</article></div><aside>No</aside>', []) == ""
+    body = '<html><body><div class="sidebar wide"><p>Story {0}</p><p>Share</p></div><p>Imprint</p></body></html>'
+    rows = [(i, f"http://h.example/{i}", body.format(i)) for i in range(6)]
+    found = {x["id"]: x["text"] for x in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i}" for i in range(6))
+
+
 def test_warc_round_trip(spark, tmp_path):
     long, tricky = "<p>" + "x" * 200, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5
     rows = [(1, "u", long), (2, "u", long), (3, None, None), (4, "a\r\nb", ""), (5, "é", "é" * 60), (6, "é", "é" * 60), (7, "t", tricky), (8, "t", tricky), (9, "s", "short"), (10, "s", "short"), (11, "l", "y" * 300_000), (2, "u", long), (None, "u", long)]
