@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -119,12 +120,21 @@ def search(records: DataFrame, query: list[float], *, k: int = 6, min_score: flo
 
 
 def search_many(records: DataFrame, queries: DataFrame, *, k: int = 6, min_score: float = 0.0, vector_col: str = "vector", query_col: str = "query", query_id: str = "query_id", ties: tuple[str, ...] = ("doc_name", "chunk_id"), most_queries: int = 10_000) -> DataFrame:
-    """The k best records for each of a bounded set of queries (more are an error): queries are broadcast,
-    each task keeps the best of its rows, and only those are shuffled."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in parts")
+    """The k best records for each query, of any number of queries. Queries are dealt into blocks by their
+    id, of half of ``most_queries`` on average; a block is broadcast, each task keeps the best of its rows,
+    and only those are shuffled. Of several blocks each has its result written before the next is searched;
+    a query lies in one block, so the results need no merging."""
     from pyspark.sql import Window as W
 
-    pairs = records.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector_col), F.col(query_col))).where(F.col("score") >= min_score)
-    place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), *ties))  # Spark limits each task's groups before the shuffle
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    def best(block: DataFrame) -> DataFrame:
+        pairs = records.crossJoin(F.broadcast(block)).withColumn("score", cosine(F.col(vector_col), F.col(query_col))).where(F.col("score") >= min_score)
+        place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), *ties))  # Spark limits each task's groups before the shuffle
+        return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+    n = queries.count()
+    if n <= most_queries:
+        return best(queries)
+    blocks = -(-2 * n // most_queries)
+    queries = materialize(queries, "queries")
+    number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [materialize(best(queries.where(number == i)), "found") for i in range(blocks)])

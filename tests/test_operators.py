@@ -125,6 +125,14 @@ def test_index_reuse(spark, tmp_path):
     assert index.search_many(again, queries, k=1).first()["doc_name"] == "b.md"
 
 
+def test_search_of_many_queries_in_blocks(spark):
+    """More queries than a block may have give what one block gives."""
+    records = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "vec_id long, vector array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(23)] + [(None, [1.0, 1.0, 1.0])], "query_id long, query array<double>")
+    search = lambda most: sorted(index.search_many(records, queries, k=3, ties=("vec_id",), most_queries=most).select("query_id", "place", "vec_id").collect(), key=str)
+    assert search(5) == search(100) and len(search(5)) == 24 * 3
+
+
 def test_catalog(spark):
     models = catalog.builtin(spark)
     assert models.count() == 17 and catalog.preset(spark, "gemini").count() == 2 and catalog.preset(spark, "x") is None
