@@ -35,3 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
         links = materialize(joined.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "links")
         if links.isEmpty():
             return labels
+
+
+def numbered(things: DataFrame, key: str) -> DataFrame:
+    """``things`` (one row a ``key``, with its smallest id as ``rep``) with that id as ``least`` too, and
+    a ``rep`` of its own for each: the id if no two have the same, else the places in the order of
+    (id, key), so that the smallest of several still has the smallest id. A null ``rep`` stays."""
+    known = things.withColumn("least", F.col("rep"))
+    if known.where("rep is not null").groupBy("rep").count().where("count > 1").isEmpty():
+        return known
+    order = known.repartitionByRange("least", key).sortWithinPartitions("least", key).withColumn("place", F.monotonically_increasing_id())
+    return materialize(order.withColumn("rep", F.when(F.col("rep").isNotNull(), F.col("place"))).drop("place"), "numbered")

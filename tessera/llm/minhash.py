@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import map_batches, mixed
-from tessera.llm.components import components
+from tessera.llm.components import components, numbered
 from tessera.llm.tokens import BASES, Words, prefix_sums, run_hashes, words
 from tessera.session import materialize
 
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null texts and texts without words link with nothing. Texts of fewer words than a shingle have
     one shingle of all words. component_id is the smallest id reached. Rows equal in id and text
-    have equal results. Rows with a null id have no component and are not kept. No rows: no rows.
+    have equal results; different texts of one id are apart, and of such a class one is kept. Rows with a null id have no component and are not kept. No rows: no rows.
     Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     sketches = materialize(map_batches(rows.withColumn("text_key", key), sketched, "id long, text_key string, bands array<long>", rows=64), "sketches")
     distinct = sketches.where("bands is not null and id is not null").groupBy("text_key").agg(F.min(F.struct("id", "bands")).alias("m"))
-    distinct = materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.bands"), "texts")
+    distinct = numbered(materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.bands"), "texts"), "text_key")
     placed = distinct.select("rep", F.posexplode("bands").alias("band", "key"))
     star = placed.groupBy("band", "key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = materialize(placed.join(star, ["band", "key"]).groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("others")), "near")
@@ -184,8 +184,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def compared(dealt: DataFrame) -> DataFrame:
         """Links (a, b) within blocks (bi = bj) and between two, from (rep, component, part, block, bi, bj)."""
-        keyed = dealt.join(distinct.select("rep", "text_key"), "rep")
-        candidates = whole.join(keyed, (F.col("id") == F.col("rep")) & (F.col("whole_key") == F.col("text_key"))).select("rep", "text", "component", "part", "block", "bi", "bj")
+        keyed = dealt.join(distinct.select("rep", "least", "text_key"), "rep")
+        candidates = whole.join(keyed, (F.col("id") == F.col("least")) & (F.col("whole_key") == F.col("text_key"))).select("rep", "text", "component", "part", "block", "bi", "bj")
         return materialize(candidates.groupBy("component", "bi", "bj").applyInArrow(compare, "a long, b long"), "similar")
 
     blocks_of = lambda n: F.ceil(n / block).cast("int")
@@ -211,10 +211,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("most")))))
     dealt = dealt.select(F.col("node").alias("rep"), "component", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     parts = components(links.unionByName(compared(dealt)))
-    reps = distinct.select("text_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("text_key").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    joined = sketches.where("bands is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-    alone = sketches.where("bands is null").select("id", "text_key", F.col("id").alias("component_id"))
-    return joined.unionByName(alone).select("id", "text_key", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    reps = distinct.select("text_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("text_key").alias("of"), F.coalesce("component", "rep").alias("component"), F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("first"))
+    reps = reps.join(distinct.select(F.col("rep").alias("component"), F.col("least").alias("component_id")), "component")
+    joined = sketches.where("bands is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), "first")
+    alone = sketches.where("bands is null").select("id", "text_key", F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    return joined.unionByName(alone).select("id", "text_key", "component_id", F.coalesce((F.col("id") == F.col("component_id")) & F.col("first"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

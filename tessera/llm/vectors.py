@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import map_batches, mixed
-from tessera.llm.components import components
+from tessera.llm.components import components, numbered
 from tessera.session import materialize
 
 COSINE = 0.95
@@ -176,7 +176,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "ks"])
 
     kind = rows.schema["vec"].dataType.simpleString()
-    known = materialize(map_batches(distinct, hashed, f"vec {kind}, rep long, copies long, ks array<int>", rows=2048), "vector-keys")
+    known = numbered(materialize(map_batches(distinct, hashed, f"vec {kind}, rep long, copies long, ks array<int>", rows=2048), "vector-keys"), "vec")
     placed = known.where("rep is not null").select("rep", F.size("vec").alias("dim"), F.posexplode("ks").alias("tab", "k"), F.when(F.col("tab") > 0, F.expr("ks[tab - 1]")).alias("before"))
     buckets = placed.groupBy("dim", "tab", "k").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi"))
     buckets = buckets.where((F.col("n") > 1) & (F.col("lo").isNull() | (F.col("lo") != F.col("hi")))).select("dim", "tab", "k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -190,7 +190,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     parts = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     classes = known.select("vec", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
-    classes = classes.select(F.col("vec").alias("of"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.withColumn("component", F.coalesce("component", "rep")).join(known.select(F.col("rep").alias("component"), "least"), "component", "left")
+    classes = classes.select(F.col("vec").alias("of"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
     linked = usable.join(classes, F.col("vec") == F.col("of")).select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where(~is_usable(F.col("vec"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

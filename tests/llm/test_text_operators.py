@@ -148,6 +148,21 @@ def test_near_copies(docs, nothing):
     assert kept.where("doc_id in (3, 4, 5)").count() == 3
 
 
+def test_different_texts_of_one_id_are_apart(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
+    found = [(r["id"], r["component_id"]) for r in minhash.near_duplicates(docs, block=2).where("id is not null").collect()]
+    assert sorted(found) == sorted(near_classes(rows))
+
+
+def test_different_texts_of_one_id_keep_their_own_classes(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    few = spark.createDataFrame([(9, one), (9, two), (4, one + " end"), (12, two + " end"), (12, one + " stop")], "doc_id long, text string")
+    found = {(r["id"], r["text_key"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(few).collect()}
+    key = lambda i, t: (i, hashlib.sha256(t.encode()).hexdigest())
+    assert found == {key(9, one): (4, False), key(9, two): (9, True), key(4, one + " end"): (4, True), key(12, two + " end"): (9, False), key(12, one + " stop"): (4, False)}
+    assert sorted(tuple(r) for r in minhash.one_of_each(few).collect()) == [(4, one + " end"), (9, two)]
+
+
 def test_contamination(spark, docs, nothing):
     text = awkward_rows()[12][1].split()
     items = [(1, " ".join(text[85:110]).upper()), (2, "one, TWO"), (3, None), (4, "--"), (5, "w1 w2 nowhere"), (None, " ".join(text[85:110])), (1, " ".join(text[85:110]).upper())]

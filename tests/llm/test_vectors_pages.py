@@ -44,6 +44,12 @@ def test_vectors(spark, block):
     assert vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_different_vectors_of_one_id_are_apart(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (8, [0.0, 1.0, 0.01])]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("id", "n_links", "component_id").collect()
+    assert sorted(map(tuple, found)) == [(2, 1, 2), (5, 1, 2), (5, 1, 5), (8, 1, 5)]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; more</h1><p>First&nbsp;one<br>goes
  on<p>Second <b>bold</b>ly<!-- no --><form><input></form><div class="comments"><p>I say</div><aside>See also</aside><ul><li>a<li>b</ul></article><footer>&copy;</footer></body>"""
