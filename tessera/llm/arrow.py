@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +14,33 @@ BATCH_ROWS = 256
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``function`` over Arrow batches of at most ``rows`` rows; Spark partitions as before."""
+    """``function`` over Arrow batches of at most ``rows`` rows; Spark partitions as before. What the
+    session says about batches when the job starts doesn't matter: larger ones are cut here."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches):
-        for batch in batches:
-            out = function(batch)
-            if out is not None and out.num_rows:
-                yield out
-            del batch, out
-            pa.default_memory_pool().release_unused()  # a worker lives on; what one long text took should not
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                out = function(whole.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
+                del out
+                pa.default_memory_pool().release_unused()  # a worker lives on; what one long text took should not
+            del whole
 
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, by: tuple[str, ...], function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, weight: Column, a_task: int) -> DataFrame:
+    """``function`` over the rows in groups of ``by``, one group after another. The number of tasks is
+    the total ``weight`` by ``a_task``, at least the session's: work that grows faster than bytes isn't
+    left to the merging of small partitions. ``df`` is read twice, so it should be a written table."""
+    spark = df.sparkSession
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // a_task))
+    return df.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(function, schema)
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of a column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +14,10 @@ from tessera.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Sketches, each of two shingles, and sketches a band: a pair at similarity 0.8 shares a band with
-#: probability 0.9998 (0.8 ** 2 for a sketch), one at 0.3 with 0.12.
-SKETCHES = 32
-ROWS = 2
-#: Documents of a candidate class that one task compares with one another or with as many others.
+#: Sketches a text, each of two shingles. With edits spread evenly, texts that share 0.8 of their words in
+#: order have 0.2 of their shingles in common and a sketch with probability 0.92, at 0.85 with 0.995.
+SKETCHES = 64
+#: Documents of a bucket that one task compares with one another or with as many others.
 BLOCK = 96
 _PLACE = np.uint64((1 << 20) - 1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -46,47 +43,59 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.where(occurrence > 0, mixed(plain + occurrence * BASES[1]), plain), first
 
 
-def bands(labels: np.ndarray, first: np.ndarray, sketches: int = SKETCHES, rows: int = ROWS) -> np.ndarray:
-    """(texts, bands) of keys. A sketch is the two smallest shingles under one of the hash orders, in
-    the order in which the text has them; a band is ``rows`` sketches. Texts must have a shingle."""
+def sketch_keys(labels: np.ndarray, first: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+    """(texts, sketches) of keys. A sketch is the two smallest shingles under one of the hash orders, in
+    the order in which the text has them. Texts must have a shingle."""
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     place = np.minimum(np.arange(len(labels)) - first[:-1][of], int(_PLACE)).astype(np.uint64)
     single = np.diff(first) == 1
-    keys = np.zeros((len(first) - 1, sketches // rows), np.uint64)
+    keys = np.empty((len(first) - 1, sketches), np.uint64)
     factors = mixed(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
     for t in range(sketches):
         value = ((labels * factors[t]) & ~_PLACE) | place
         least = np.minimum.reduceat(value, first[:-1])
         value[value == least[of]] = _LAST
         second = np.where(single, least, np.minimum.reduceat(value, first[:-1]))
-        early = np.where((least & _PLACE) <= (second & _PLACE), least, second) & ~_PLACE
-        late = np.where((least & _PLACE) <= (second & _PLACE), second, least) & ~_PLACE
-        keys[:, t // rows] = mixed(keys[:, t // rows] * BASES[0] + mixed(early) + mixed(late) * BASES[1] + np.uint64(t + 1))
+        in_order = (least & _PLACE) <= (second & _PLACE)
+        early, late = np.where(in_order, least, second) & ~_PLACE, np.where(in_order, second, least) & ~_PLACE
+        keys[:, t] = mixed(mixed(early) + mixed(late) * BASES[1] + np.uint64(t + 1))
     return keys
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether an alignment keeps enough: m matched shingles, in order and within the band that
-    ``similarity`` leaves for insertions and deletions, with m / (len(a) + len(b) - m) >= similarity."""
-    need = similarity * (len(a) + len(b)) / (1 + similarity)
-    band = len(a) + len(b) - 2 * int(np.ceil(need - 1e-9))
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) < need - 1e-9:
+def matches(a: np.ndarray, b: np.ndarray, need: int) -> bool:
+    """Whether an alignment of two rows of words matches ``need`` of them, in order. So many matches leave
+    a band of places around the diagonal, outside of which nothing is looked at; a row of the band is
+    one integer, a bit for each word of ``a``."""
+    n = min(len(a), len(b))
+    if need > n:
         return False
-    path = j[np.argsort(i)]
-    if (np.diff(path) > 0).all():
+    differ = np.flatnonzero(a[:n] != b[:n])
+    if not len(differ):
+        return True
+    head = int(differ[0])
+    differ = np.flatnonzero(a[head:][::-1][: n - head] != b[head:][::-1][: n - head])
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b, need = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist(), need - head - tail
+    if need <= 0:
         return True
-    tails: list[int] = []
-    for x in path.tolist():
-        at = bisect_left(tails, x)
-        tails[at : at + 1] = [x]
-    return len(tails) >= need - 1e-9
+    if need > min(len(a), len(b)):
+        return False
+    wanted, places = set(b), {}
+    for i, word in enumerate(a):
+        if word in wanted:
+            places[word] = places.get(word, 0) | 1 << i
+    band, back = (1 << (len(a) + len(b) - 2 * need + 1)) - 1, len(b) - need
+    everywhere = (1 << len(a)) - 1
+    open_ = everywhere  # a bit is off where the longest match of the words so far grows
+    for j, word in enumerate(b):
+        met = open_ & places.get(word, 0) & (band << (j - back) if j >= back else band >> (back - j))
+        if met:
+            open_ = ((open_ + met) | (open_ - met)) & everywhere
+    return len(a) - open_.bit_count() >= need
 
 
 def shared(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
-    """How many shingles each two sets have in common, from products of blocks of the 0/1 matrix."""
+    """How many labels each two sets have in common, from products of blocks of the 0/1 matrix."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rows, column = rows[often[column] > 1], column[often[column] > 1]
@@ -96,20 +105,21 @@ def shared(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
     total = np.zeros((len(sets), len(sets)), np.float32)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         part = slice(*np.searchsorted(column, (lo, lo + columns)))
-        matrix = np.zeros((len(sets), columns), np.float32)
+        matrix = np.zeros((len(sets), min(columns, int(column[-1]) + 1 - lo)), np.float32)
         matrix[rows[part], column[part] - lo] = 1
         total += matrix @ matrix.T
     return total
 
 
-def linked(ids: np.ndarray, part: np.ndarray, block: np.ndarray, sets: list[np.ndarray], within: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links (smaller, larger id) that connect what is similar in one block, or between two. Texts of
-    one ``part`` are connected already."""
+def linked(ids: np.ndarray, part: np.ndarray, block: np.ndarray, texts: list[np.ndarray], sets: list[np.ndarray], within: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links (smaller, larger id) that connect what is similar in one block, or between two; ``texts`` are
+    rows of word hashes, ``sets`` the same with the number of each occurrence. Texts of one ``part``
+    are connected already."""
     order = np.argsort(ids)
-    ids, part, block, sets = ids[order], part[order], block[order], [sets[i] for i in order]
-    size = np.array([len(s) for s in sets], np.float32)
-    both = shared(sets)
-    close = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-4
+    ids, part, block, texts, sets = ids[order], part[order], block[order], [texts[i] for i in order], [sets[i] for i in order]
+    size = np.array([len(t) for t in texts])
+    need = np.ceil(similarity * np.maximum(size[:, None], size[None, :]) - 1e-9).astype(np.int64)
+    close = shared(sets) >= need  # an alignment can't match more than the words in common
     _, first, inverse = np.unique(part, return_index=True, return_inverse=True)
     root = first[inverse].tolist()
 
@@ -123,28 +133,30 @@ def linked(ids: np.ndarray, part: np.ndarray, block: np.ndarray, sets: list[np.n
     for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))), strict=True):
         if within or block[i] != block[j]:
             a, b = find(i), find(j)
-            if a != b and aligned(sets[i], sets[j], similarity):
+            if a != b and matches(texts[i], texts[j], int(need[i, j])):
                 root[max(a, b)] = min(a, b)
                 found.append((int(ids[i]), int(ids[j])))
     return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(id, text_key, component_id, kept) of every row: classes of documents that are linked by
-    alignments of their word shingles at ``similarity`` or more.
-
-    Equal texts are one text. Distinct ones are sketched where they lie; those that share a band, and
-    those connected that way, form a candidate class. First each text is compared once with the
-    smallest text of its bands, together with some others of that text, which connects most copies
-    into parts. A class that is one part is done. Of the others the largest part needs no comparison
-    within itself: what is outside it is dealt out in blocks and compared, as pairs of blocks, with
-    itself and with the largest part, so a group of copies is not multiplied by its own size. A task
-    sees at most two blocks; it counts shared shingles of all pairs by a matrix product, aligns those
-    that can reach the similarity unless they are connected already, and gives the links it used.
-    Links are joined into components in rounds.
-
-    Null texts and texts without words link with nothing. Texts of fewer words than a shingle have
-    one shingle of all words. component_id is the smallest id reached. Rows equal in id and text
+    """(id, text_key, component_id, kept) of every row: classes of documents that are linked. Two texts are
+    linked if they share a sketch of their shingles of k words, and an alignment matches
+    ``similarity`` or more of the words of the longer one, in order.
+
+    Equal texts are one text. Distinct ones are sketched where they lie; those with a sketch in common
+    form a bucket. First each text is compared with that text which is the smallest of most of its
+    buckets, together with some others of that text, which connects most copies into parts. Then
+    buckets that hold several parts are looked at, by length (similar texts have similar lengths),
+    equal ones once. The largest part of a bucket needs no comparison within itself: what is outside
+    is dealt out in blocks and compared, as pairs of blocks, with itself and with the largest part, so
+    a group of copies is not multiplied by its own size. Only verified links connect: a bucket never
+    reaches beyond itself. A task sees at most two blocks; it counts the common words of all pairs by
+    a matrix product, aligns those that can reach the similarity unless they are connected already,
+    and gives the links it used. Links are joined into components in rounds.
+
+    Words are told apart by 64-bit hashes. Null texts and texts without words link with nothing. Texts
+    of fewer words than a shingle have one shingle of all words. component_id is the smallest id reached. Rows equal in id and text
     have equal results; different texts of one id are apart, and of such a class one is kept. Rows with a null id have no component and are not kept. No rows: no rows.
     Other columns are not read.
     """
@@ -152,69 +164,77 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list = [None] * batch.num_rows
+        size = np.zeros(batch.num_rows, np.int64)
         for w in words(batch.column("text")):
             labels, first = shingles(w, k)
             some = np.flatnonzero(np.diff(first))
+            size[w.rows.start : w.rows.stop] = np.diff(w.first)
             if len(some):
-                keys = bands(labels, np.append(first[some], first[-1]))
-                for i, key in zip(some.tolist(), keys.view(np.int64), strict=True):
+                for i, key in zip(some.tolist(), sketch_keys(labels, np.append(first[some], first[-1])).view(np.int64), strict=True):
                     out[w.rows[i]] = key
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(out, pa.list_(pa.int64()))], ["id", "text_key", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(size), pa.array(out, pa.list_(pa.int64()))], ["id", "text_key", "size", "keys"])
 
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    sketches = materialize(map_batches(rows.withColumn("text_key", key), sketched, "id long, text_key string, bands array<long>", rows=64), "sketches")
-    distinct = sketches.where("bands is not null and id is not null").groupBy("text_key").agg(F.min(F.struct("id", "bands")).alias("m"))
-    distinct = numbered(materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.bands"), "texts"), "text_key")
-    placed = distinct.select("rep", F.posexplode("bands").alias("band", "key"))
-    star = placed.groupBy("band", "key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = materialize(placed.join(star, ["band", "key"]).groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("others")), "near")
-    whole = rows.withColumn("whole_key", key)
+    sketches = materialize(map_batches(rows.withColumn("text_key", key), sketched, "id long, text_key string, size long, keys array<long>", rows=64), "sketches")
+    distinct = sketches.where("keys is not null and id is not null").groupBy("text_key").agg(F.min(F.struct("id", "size", "keys")).alias("m"))
+    distinct = numbered(materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.size", "m.keys"), "texts"), "text_key")
+    placed = distinct.select("rep", "size", F.explode("keys").alias("key"))
+    buckets = placed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("key", "b")
+    bucketed = materialize(placed.join(materialize(buckets, "shared-sketches"), "key"), "buckets")
+    votes = bucketed.where("rep <> b").groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
+    members = materialize(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("rep", (-F.col("m.b")).alias("b")), "stars")
+    # texts that share a sketch, once for both comparisons
+    candidates = bucketed.select("rep").distinct().join(distinct.select("rep", "least", "text_key"), "rep")
+    texts = rows.withColumn("whole_key", key).join(candidates, (F.col("id") == F.col("least")) & (F.col("whole_key") == F.col("text_key")))
+    texts = materialize(texts.select("rep", "text"), "candidates")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, at = np.unique(group.column("rep").to_numpy(), return_index=True)  # repeated rows once
         group = group.take(pa.array(at))
-        sets = []
+        found_words, sets = [], []
         for w in words(group.column("text").combine_chunks()):
-            labels, first = shingles(w, k)
+            found_words += np.split(w.hashes, w.first[1:-1])
+            labels, first = shingles(w, 1)
             sets += np.split(labels, first[1:-1])
         within = group.column("bi")[0] == group.column("bj")[0]
-        found = linked(ids, group.column("part").to_numpy(), group.column("block").to_numpy(), sets, within, similarity)
+        found = linked(ids, group.column("part").to_numpy(), group.column("block").to_numpy(), found_words, sets, within, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     def compared(dealt: DataFrame) -> DataFrame:
-        """Links (a, b) within blocks (bi = bj) and between two, from (rep, component, part, block, bi, bj)."""
-        keyed = dealt.join(distinct.select("rep", "least", "text_key"), "rep")
-        candidates = whole.join(keyed, (F.col("id") == F.col("least")) & (F.col("whole_key") == F.col("text_key"))).select("rep", "text", "component", "part", "block", "bi", "bj")
-        return materialize(candidates.groupBy("component", "bi", "bj").applyInArrow(compare, "a long, b long"), "similar")
+        """Links (a, b) within blocks (bi = bj) and between two, from (rep, bucket, part, block, bi, bj)."""
+        return materialize(dealt.join(texts, "rep").groupBy("bucket", "bi", "bj").applyInArrow(compare, "a long, b long"), "similar")
 
     blocks_of = lambda n: F.ceil(n / block).cast("int")
     place = lambda of, blocks: F.pmod(F.xxhash64(of), F.col(blocks)).cast("int")
-    # each text once, with the smallest text of its bands; that one goes with every block of its texts
-    members = near.where("rep <> b").select("rep", F.col("b").alias("component"))
-    sizes = members.groupBy("component").agg(blocks_of(F.count(F.lit(1))).alias("blocks"))
-    around = members.join(sizes, "component").select("rep", "component", place("rep", "blocks").alias("block"))
-    centers = sizes.select(F.col("component").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = around.unionByName(centers).select("rep", "component", F.col("rep").alias("part"), "block", F.col("block").alias("bi"), F.col("block").alias("bj"))
+    # each text once, with the smallest text of most of its buckets; that one goes with every block of its texts
+    members = members.select("rep", F.col("b").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(blocks_of(F.count(F.lit(1))).alias("blocks"))
+    around = members.join(sizes, "bucket").select("rep", "bucket", place("rep", "blocks").alias("block"))
+    centers = sizes.select(F.col("bucket").alias("rep"), "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = around.unionByName(centers).select("rep", "bucket", F.col("rep").alias("part"), "block", F.col("block").alias("bi"), F.col("block").alias("bj"))
     links = compared(dealt)
-    # one link from a text to the smallest text of its bands, and links among the smallest, which repeat
-    shared_bands = near.select(F.col("rep").alias("a"), "b").unionByName(near.select(F.explode("others").alias("a"), "b").distinct())
-    classes = components(shared_bands.where("a <> b"))
-    parts = components(links).select("node", F.col("component").alias("part"))
-    parted = materialize(classes.join(parts, "node", "left").select("node", "component", F.coalesce("part", "node").alias("part")), "parts")
-    counted = parted.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("component").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    largest = largest.select("component", F.col("top.part").alias("top"), blocks_of(F.col("n") - F.col("top.n")).alias("rest"), blocks_of(F.col("top.n")).alias("most"))
+    parts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    # lengths in steps of the similarity: similar texts are in one step or in two that follow each other
+    step = F.floor(F.log(F.col("size")) / -float(np.log(similarity))).cast("int")
+    parted = bucketed.join(parts, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part"), F.explode(F.array(step, step + 1)).alias("step"), "key")
+    parted = materialize(parted.select("rep", "part", F.xxhash64("key", "step").alias("bucket")), "parts")
+    several = parted.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("y")).where("lo < hi")
+    several = materialize(several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "several-parts")
+    opened = materialize(parted.join(several, "bucket"), "opened")
+    counted = opened.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
+    largest = largest.select("bucket", F.col("top.part").alias("top"), blocks_of(F.col("n") - F.col("top.n")).alias("rest"), blocks_of(F.col("top.n")).alias("most"))
     # blocks 0 .. rest - 1 are outside the largest part, the following ones of it
     in_top = F.col("part") == F.col("top")
-    dealt = parted.join(largest, "component").withColumn("block", F.when(in_top, F.col("rest") + place("node", "most")).otherwise(place("node", "rest")))
+    dealt = opened.join(largest, "bucket").withColumn("block", F.when(in_top, F.col("rest") + place("rep", "most")).otherwise(place("rep", "rest")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("most")))))
-    dealt = dealt.select(F.col("node").alias("rep"), "component", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    dealt = dealt.select("rep", "bucket", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     parts = components(links.unionByName(compared(dealt)))
     reps = distinct.select("text_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("text_key").alias("of"), F.coalesce("component", "rep").alias("component"), F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("first"))
     reps = reps.join(distinct.select(F.col("rep").alias("component"), F.col("least").alias("component_id")), "component")
-    joined = sketches.where("bands is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), "first")
-    alone = sketches.where("bands is null").select("id", "text_key", F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    joined = sketches.where("keys is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), "first")
+    alone = sketches.where("keys is null").select("id", "text_key", F.col("id").alias("component_id"), F.lit(True).alias("first"))
     return joined.unionByName(alone).select("id", "text_key", "component_id", F.coalesce((F.col("id") == F.col("component_id")) & F.col("first"), F.lit(False)).alias("kept"))
 
 
@@ -223,8 +243,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     smallest id, and of rows equal in id and text one. Rows with a null id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("id is not null")
     counted = found.groupBy("id", "text_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-    counted = materialize(counted.where("kept").select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "times"), "kept")
-    same = (docs[id_col].cast("long") == F.col("__id")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("__key"))
-    out = docs.join(counted.where("times = 1"), same, "left_semi").unionByName(docs.where(docs[id_col].isNull()))
+    counted = materialize(counted.where("kept").select("id", "text_key", "times"), "kept")
+    packed = docs.select(docs[id_col].cast("long").alias("id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("text_key"), F.struct("*").alias("row"))
+    out = packed.join(counted.where("times = 1"), ["id", "text_key"], "left_semi").unionByName(packed.where("id is null"))
     repeated = counted.where("times > 1")
-    return out if repeated.isEmpty() else out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    if not repeated.isEmpty():
+        out = out.unionByName(packed.join(repeated, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))

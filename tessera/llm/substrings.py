@@ -25,7 +25,8 @@ WINDOW = 50
 #: After so many rounds a symbol stands for three words on average, and depends on about twenty: most
 #: windows of fifty have several symbols that depend on nothing outside the window.
 ANCHOR_ROUND = 4
-_INDEX = np.uint64((1 << 24) - 1)
+#: Places in a text have fewer bits than this; symbols of the same upper bits are told apart by place, as in any equal window.
+_INDEX = np.uint64((1 << 32) - 1)
 _ROWS = 64
 
 
@@ -82,6 +83,11 @@ def compress(s: Symbols, turn: int, before: np.ndarray, after: np.ndarray) -> Sy
     return Symbols(name, of[at], runs.start[at], np.where(joined, runs.end[following], runs.end[at]), near, far)
 
 
+def sums_of(w: Words) -> list[np.ndarray]:
+    """Sums for two hashes of runs of words, which have no chance of being alike in common but that of the words."""
+    return [prefix_sums(w.hashes, BASES[0]), prefix_sums(mixed(w.hashes + BASES[1]), BASES[1])]
+
+
 def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, ctx, lo, hi): the windows lo..hi (by their first words) have ``key`` as their anchor; ``ctx``
     is the hash of all words from the first window to the last.
@@ -96,7 +102,7 @@ def anchors(s: Symbols, w: Words, window: int) -> tuple[np.ndarray, np.ndarray,
     p = np.arange(offset[-1]) + np.repeat(w.first[:-1] - offset[:-1], count)
     if not len(p):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), p, p
-    sums = [prefix_sums(w.hashes, b) for b in BASES]
+    sums = sums_of(w)
     below = np.cumsum(np.bincount(np.maximum(s.near + 1, 0), minlength=total + 3))  # symbols that depend on nothing from this place on back
     within = np.cumsum(np.bincount(s.far, minlength=total + 3))
     lo, hi = below[p], within[p + window] - 1
@@ -147,7 +153,7 @@ def hashed_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """128-bit hashes of the windows in some contexts of each text; open: the context asks for an answer."""
     ranges, ids, out = batch.column("ranges").to_pylist(), batch.column("id").to_numpy(), []
     for w in words(batch.column("text")):
-        sums = [prefix_sums(w.hashes, b) for b in BASES]
+        sums = sums_of(w)
         for i, row in enumerate(w.rows):
             lo, hi, key, ctx, asks = (np.array([r[k] for r in ranges[row]]) for k in ("lo", "hi", "key", "ctx", "open"))
             count = hi - lo + 1

@@ -17,19 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import lists, map_batches, mixed, row_uid
+from tessera.llm.arrow import lists, map_batches, map_groups, mixed, row_uid
 from tessera.llm.tokens import _BYTES, BASES, chunks, prefix_sums, run_hashes, utf8
 from tessera.session import materialize
 
 WINDOW = 400
+#: A power of two.
 GRAM = 64
-#: Widths of the slots of successive rounds, in strings by their first bytes. In the last a slot is one string.
-SLOTS = (84, 12, 1)
+#: Of the room of a gram in a window, the parts that are the widths of the slots of successive rounds, in
+#: strings by their first bytes. In a last round a slot is one string.
+SLOTS = (4, 28)
 #: Different segments of a slot that go into one transform; slots with more go to the next round.
 GROUP = 256
 #: Bytes of a transform (a group at least).
 TRANSFORM = 1 << 20
-_INDEX = np.uint64((1 << 24) - 1)
+#: Places in a text have fewer bits than this; grams of the same upper bits are told apart by place, as in any equal string.
+_INDEX = np.uint64((1 << 32) - 1)
 _PART = 1 << 18
 _ROWS = 64
 
@@ -59,8 +62,6 @@ def contexts(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
         of = np.repeat(np.arange(len(n)), count)
         p = np.arange(offset[-1]) + (bd[:-1] - offset[:-1])[of]
         at = (least[p] & _INDEX).astype(np.int64)
-        at += (p - at) & ~np.int64(int(_INDEX))  # a text of more than 16 MB
-        at += np.where(at < p, int(_INDEX) + 1, 0)
         new = np.ones(len(p), bool)
         new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
         head = np.flatnonzero(new)
@@ -72,7 +73,9 @@ def contexts(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
 
 
 CONTEXTS = "uid binary, id long, n_bytes long, kept_sha256 string, contexts array<struct<key:long,ctx:long,at:int,lo:int,hi:int>>"
-SEGMENT = "key long, ctx long, copies long, x int, segment binary"
+#: A segment is the bytes of one context; ``first`` and ``lo`` say where its first copy stands.
+SEGMENT = "key long, ctx long, copies long, first long, lo int, x int, segment binary"
+_SEGMENT_IDS = ("key", "ctx", "copies", "first", "lo")
 
 
 def with_bytes(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
@@ -80,9 +83,9 @@ def with_bytes(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     rows = []
     for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        rows += [(c["key"], c["ctx"], c["copies"], c["at"] - c["lo"], raw[c["lo"] : c["hi"] + window]) for c in found]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "ctx", "copies", "x", "segment"])
+        rows += [(c["key"], c["ctx"], c["copies"], c["first"], c["lo"], c["at"] - c["lo"], raw[c["lo"] : c["hi"] + window]) for c in found]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_SEGMENT_IDS, "x", "segment"])
 
 
 def slots(batch: pa.RecordBatch, width: int, window: int) -> pa.RecordBatch:
@@ -103,7 +106,7 @@ def slots(batch: pa.RecordBatch, width: int, window: int) -> pa.RecordBatch:
         n.append(stop - start + 1)
     take = pa.array(np.concatenate(row))
     columns = [np.concatenate(slot).view(np.int64), np.concatenate(part).view(np.int64), np.concatenate(off).astype(np.int32), np.concatenate(n).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("key", "ctx", "copies")), *map(pa.array, columns)], ["key", "ctx", "copies", "slot", "part", "off", "n"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in _SEGMENT_IDS), *map(pa.array, columns)], [*_SEGMENT_IDS, "slot", "part", "off", "n"])
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +131,10 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int, shallow: int) -
             return order, early
 
 
-def repeated(segments: list[bytes], window: int, shallow: int) -> np.ndarray:
+def repeated(segments: list[bytes], window: int, shallow: int, turn: np.ndarray | None = None) -> np.ndarray:
     """For each byte of the segments, each with a separator after it: whether the ``window`` bytes from
-    there on also start elsewhere.
+    there on also start elsewhere; with ``turn`` (a number a segment, none twice), whether they also
+    start in a segment of a smaller turn or earlier in the same.
 
     Breadth first over the intervals of the transform, by increasing length: the intervals of strings
     of ``length`` letters are extended by each letter in front of them. Where an interval ends that no
@@ -171,18 +175,32 @@ def repeated(segments: list[bytes], window: int, shallow: int) -> np.ndarray:
         lo, hi = lo[fresh], hi[fresh]
         known[hi] = True
     found = np.zeros(len(order), bool)
-    found[order] = ~known[:-1] | ~known[1:]
+    if turn is None:
+        found[order] = ~known[:-1] | ~known[1:]
+        return found
+    size = np.diff(np.concatenate([[0], ends + 1]))
+    by = np.argsort(turn)
+    begins = np.empty_like(size)
+    begins[by] = np.cumsum(size[by]) - size[by]
+    of = np.repeat(np.arange(len(size)), size)
+    rank = (begins[of] + np.arange(len(of)) - (ends + 1 - size)[of])[order]
+    first = np.minimum.reduceat(rank, np.flatnonzero(known[:-1]))
+    found[order] = rank > first[np.cumsum(known[:-1]) - 1]
     return found
 
 
-def transforms(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(key, ctx, lo, hi): runs of windows of the open segments that occur twice. Rows come in groups
-    by slot; some groups at a time make one transform."""
+def transforms(batches: Iterator[pa.RecordBatch], window: int, gram: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
+    """(key, ctx, lo, hi): runs of windows of the open segments that occur twice, or earlier. Rows come
+    in groups by slot; some groups at a time make one transform."""
     held: list[pa.RecordBatch] = []
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
-        segments = rows.column("segment").to_pylist()
-        found = repeated(segments, window, gram)
+        segments, turn = rows.column("segment").to_pylist(), None
+        if keep_first:
+            order = np.lexsort([rows.column(c).to_numpy() for c in ("off", "ctx", "key", "lo", "first")])
+            turn = np.empty(len(order), np.int64)
+            turn[order] = np.arange(len(order))
+        found = repeated(segments, window, gram, turn)
         out, at = [], 0
         for key, ctx, off, asks, segment in zip(*(rows.column(c).to_pylist() for c in ("key", "ctx", "off", "open")), segments, strict=True):
             if asks:
@@ -211,32 +229,32 @@ def transforms(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Ite
 
 
 def cut(segments: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """The bytes of chosen slots (key, ctx, slot, off, n, open) out of their segments."""
+    """The bytes of chosen slots (key, ctx, first, lo, slot, off, n, open) out of their segments."""
     piece = F.expr(f"substring(segment, off + 1, n + {window} - 1)")
-    return chosen.join(segments.select("key", "ctx", "segment"), ["key", "ctx"]).select("key", "ctx", "slot", "off", "open", piece.alias("segment"))
+    return chosen.join(segments.select("key", "ctx", "segment"), ["key", "ctx"]).select("key", "ctx", "first", "lo", "slot", "off", "open", piece.alias("segment"))
 
 
-def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...], group: int) -> DataFrame:
+def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...], group: int, keep_first: bool) -> DataFrame:
     """(key, ctx, lo, hi): runs of windows, counted from the context's first, that occur in two places;
-    of the contexts with one copy in ``segments``.
+    of the contexts with one copy in ``segments``. With ``keep_first``: of all contexts, that occur in a
+    context before, in the order of (first, lo, key, ctx).
 
     A round cuts segments into slots. A part that several contexts have is repeated. Parts that differ
     but share their slot's core are left for the transforms, if the slot has at most ``group`` of them,
     and for the next round's narrower slots if it has more. A slot of one window has equal parts only.
     """
     out = None
+    rank = F.struct("first", "lo", "key", "ctx")
     for width in widths:
-        parts = materialize(map_batches(segments, lambda b, width=width: slots(b, width, window), "key long, ctx long, copies long, slot long, part long, off int, n int", rows=1024), "slots")
-        tally = parts.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "ctx")).alias("one"))
+        parts = materialize(map_batches(segments, lambda b, width=width: slots(b, width, window), "key long, ctx long, copies long, first long, lo int, slot long, part long, off int, n int", rows=1024), "slots")
+        tally = parts.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("times"), F.min(rank).alias("one"))
         many = tally.groupBy("slot").agg(F.count(F.lit(1)).alias("kinds"))
         live = materialize(parts.join(tally.join(many, "slot").where("kinds > 1 or times > 1"), ["slot", "part"]), "live-slots")
-        alike = live.where("times > 1 and copies = 1").select("key", "ctx", F.col("off").alias("lo"), (F.col("off") + F.col("n") - 1).alias("hi"))
-        # of equal parts one is enough to compare with; only a part without an equal asks
-        others = live.where((F.col("kinds") > 1) & (F.struct("key", "ctx") == F.col("one"))).withColumn("open", F.expr("times = 1 and copies = 1"))
-        small = cut(segments, others.where(F.col("kinds") <= group), window)
-        segments.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-        dealt = small.repartition("slot").sortWithinPartitions("slot")
-        met = dealt.mapInArrow(lambda it: transforms(it, window, gram), "key long, ctx long, lo int, hi int")
+        alike = live.where(rank != F.col("one") if keep_first else F.expr("times > 1 and copies = 1")).select("key", "ctx", F.col("off").alias("lo"), (F.col("off") + F.col("n") - 1).alias("hi"))
+        # of equal parts one is enough to compare with; if both go, only a part without an equal asks
+        others = live.where((F.col("kinds") > 1) & (rank == F.col("one"))).withColumn("open", F.lit(True) if keep_first else F.expr("times = 1 and copies = 1"))
+        small = materialize(cut(segments, others.where(F.col("kinds") <= group), window), "pieces")
+        met = map_groups(small, ("slot",), lambda it: transforms(it, window, gram, keep_first), "key long, ctx long, lo int, hi int", F.octet_length("segment"), TRANSFORM)
         found = materialize(alike.unionByName(met), "repeats")
         out = found if out is None else out.unionByName(found)
         large = others.where(F.col("kinds") > group).select("key", "ctx").distinct()
@@ -264,30 +282,40 @@ def without(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n_removed", "n_spans", "cut_sha256", "kept_text"])
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = SLOTS, group: int = GROUP) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, slot_parts: tuple[int, ...] = SLOTS, group: int = GROUP, keep_first: bool = False) -> DataFrame:
     """(id, uid, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row: without the bytes that
-    are covered by ``window`` bytes which also start anywhere else, in this text or another.
+    are covered by ``window`` bytes which also start anywhere else, in this text or another. With
+    ``keep_first``: which also start in a text of a smaller id or earlier in this one, so that one copy
+    of what repeats stays (a null id counts as the largest; rows equal in id and text lose the same).
 
     kept_text is null where all stay; kept_sha256 is of the bytes that are left, kept_text leaves out
     what a cut has left of a character. Rows are documents of their own even if they are equal: both lose what they share.
+    Strings are told apart by 64-bit hashes of their surroundings and, in transforms, by their bytes.
     Null texts are empty. Null ids are ids like others. No rows: no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("uid", row_uid(F.col("id"), F.col("text")))
     texts = materialize(map_batches(rows, lambda b: contexts(b, window, gram), CONTEXTS, rows=_ROWS), "contexts")
-    each = texts.select("uid", F.inline("contexts"))
+    each = texts.select("uid", F.coalesce("id", F.lit((1 << 63) - 1)).alias("first"), F.inline("contexts"))
+    place = F.struct("first", "uid", "lo", "at", "hi")  # of a context; its first copy has the smallest
     per_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).where("times > 1")
     shared = materialize(per_key.select("key", (F.col("one") != F.col("other")).alias("differ")), "shared")  # a plain join of files can be split where a key is frequent
     live = materialize(each.join(shared, "key"), "live-contexts")
     alike = live.where("not differ")
     differ = live.where("differ")
-    tally = materialize(differ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "at", "lo", "hi")).alias("m")), "context-copies")
-    per_text = tally.groupBy(F.col("m.uid").alias("uid")).agg(F.collect_set(F.struct("key", "ctx", "copies", "m.at", "m.lo", "m.hi")).alias("found"))
+    tally = materialize(differ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("m")), "context-copies")
+    per_text = tally.groupBy(F.col("m.uid").alias("uid")).agg(F.collect_set(F.struct("key", "ctx", "copies", "m.first", "m.at", "m.lo", "m.hi")).alias("found"))
     segments = map_batches(rows.join(per_text, "uid"), lambda b: with_bytes(b, window), SEGMENT, rows=_ROWS)
     segments = materialize(segments.dropDuplicates(["key", "ctx"]) if repeats_rows(texts) else segments, "segments")
-    found = repeats(segments, window, gram, widths, group)
-    more = differ.join(found.select("key", "ctx", F.col("lo").alias("from"), F.col("hi").alias("to")), ["key", "ctx"]).select("uid", (F.col("lo") + F.col("from")).alias("start"), (F.col("lo") + F.col("to") + window).alias("end"))
-    copied = differ.join(tally.where("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    spans = alike.unionByName(copied).select("uid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")).unionByName(more)
+    widths = (*(max(2, (window - gram) // n) for n in slot_parts), 1)
+    found = repeats(segments, window, gram, widths, group, keep_first).select("key", "ctx", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    if keep_first:
+        alike = alike.join(alike.groupBy("key").agg(F.min(place).alias("least")), "key").where(place != F.col("least"))
+        told = differ.join(tally.select("key", "ctx", "m"), ["key", "ctx"])
+        copied, asking = told.where(place != F.col("m")), told.where(place == F.col("m"))
+    else:
+        copied, asking = differ.join(tally.where("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi"), differ
+    more = asking.join(found, ["key", "ctx"]).select("uid", (F.col("lo") + F.col("from")).alias("start"), (F.col("lo") + F.col("to") + window).alias("end"))
+    spans = alike.select("uid", "lo", "hi").unionByName(copied.select("uid", "lo", "hi")).select("uid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")).unionByName(more)
     per_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     done = map_batches(rows.select("uid", "text").join(per_text, "uid"), without, "uid binary, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
     done = done.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "cut_sha256", "kept_text")))
@@ -295,16 +323,17 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return texts.drop("contexts").join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
 
 
-def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs``, all rows and columns, with their texts less what ``deduplicated`` removes; ``length_col``
-    (if there is one) is set to the new length where the text changes."""
-    uid = row_uid(F.col(id_col).cast("long"), F.col(text_col))
-    changed = deduplicated(docs, id_col=id_col, text_col=text_col).where("kept_text is not null").groupBy(F.col("uid").alias("__uid")).agg(F.first("kept_text").alias("__kept"))
-    joined = docs.withColumn("__of", uid).join(changed, F.col("__of") == F.col("__uid"), "left")
-    new = {text_col: F.coalesce("__kept", text_col)}
+def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """``docs``, all rows and columns, with their texts less what ``deduplicated`` (with ``options``)
+    removes; ``length_col`` (if there is one) is set to the new length where the text changes. Columns
+    may have any names."""
+    changed = deduplicated(docs, id_col=id_col, text_col=text_col, **options).where("kept_text is not null").groupBy("uid").agg(F.first("kept_text").alias("kept"))
+    packed = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), F.struct("*").alias("row"))
+    joined = packed.join(changed, "uid", "left")
+    new = {text_col: F.coalesce("kept", F.col("row")[text_col])}
     if length_col in docs.columns:
-        new[length_col] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+        new[length_col] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(F.col("row")[length_col])
+    return joined.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def repeats_rows(texts: DataFrame) -> bool:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,25 @@ def test_repeats(docs, nothing, group):
     assert suffixes.deduplicated(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("window", "group"), [(400, 256), (256, 256), (128, 1)])
+def test_repeats_but_the_first(docs, window, group):
+    rows = [(1 << 62 if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    first = {}
+    for i, raw in rows:
+        for k in range(len(raw) - window + 1):
+            g = raw[k : k + window]
+            first[g] = min(first.get(g, (i, k)), (i, k))
+    expected = []
+    for i, raw in rows:
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - window + 1):
+            if first[raw[k : k + window]] < (i, k):
+                gone[k : k + window] = b"\1" * window
+        expected.append((None if i == 1 << 62 else i, sum(gone), hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
+    found = suffixes.deduplicated(docs, window=window, group=group, keep_first=True).select("id", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
+
+
 def test_repeats_cut_texts(docs):
     cut = suffixes.trimmed_documents(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
@@ -107,33 +127,47 @@ def test_interval_expansion(size):
     assert set(suffixes.repeated(segments, 16, 4).nonzero()[0].tolist()) == expected
 
 
+def longest_match(a, b):
+    """Words of a and b that an alignment matches, by the table of all prefixes."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
 def near_classes(rows):
-    """Classes by the multiset similarity of shingles, for texts whose shingles are in one order."""
-    def shingles(t):
-        w = SPACE.findall((t or "").encode())
-        out, seen = set(), {}
-        for k in range(max(len(w) - 4, min(len(w), 1))):
-            g = tuple(w[k : k + 5])
-            seen[g] = seen.get(g, 0) + 1
-            out.add((g, seen[g]))
-        return out
-
-    sets = [(i, shingles(t)) for i, t in rows]
-    root = list(range(len(sets)))
+    """Classes by the share of the longer text's words that the two have in common, in order."""
+    texts = [(i, SPACE.findall((t or "").encode())) for i, t in rows]
+    root = list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, (_, x) in enumerate(sets):
-        for b, (_, y) in enumerate(sets[:a]):
-            if x and y and len(x & y) >= 0.8 * len(x | y):
+    for a, (_, x) in enumerate(texts):
+        for b, (_, y) in enumerate(texts[:a]):
+            need = 0.8 * max(len(x), len(y))
+            if x and y and min(len(x), len(y)) >= need and len(set(x) & set(y)) > 1 and longest_match(x, y) >= need:
                 root[find(a)] = find(b)
     least = {}
-    for k, (i, _) in enumerate(sets):
+    for k, (i, _) in enumerate(texts):
         least[find(k)] = min(least.get(find(k), i), i)
-    return [(i, least[find(k)]) for k, (i, _) in enumerate(sets)]
+    return [(i, least[find(k)]) for k, (i, _) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matches(seed):
+    r = random.Random(seed)
+    a = [r.randint(0, r.choice((3, 50))) for _ in range(r.randint(1, 60))]
+    b = [x for x in a if r.random() > 0.15]
+    for _ in range(r.randint(0, 9)):
+        b.insert(r.randint(0, len(b)), r.randint(0, 50))
+    most = longest_match(a, b)
+    for need in range(max(len(a), len(b)) + 2):
+        assert minhash.matches(np.array(a), np.array(b, dtype=np.int64), need) == (need <= most)
 
 
 def test_near_copies(docs, nothing):
