@@ -18,9 +18,14 @@ def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return minhash.one_of_each(docs)
 
 
+#: A passage of fifty words takes about 300 bytes in the languages at hand, so strings of 256 are looked for.
+PASSAGE_BYTES = 256
+
+
 def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that occur twice are cut out of the texts."""
-    return suffixes.trimmed_documents(docs)
+    """Strings of ``PASSAGE_BYTES`` that an earlier document has, or this one further up, are cut out of
+    the texts; the first copy of what repeats stays in the corpus."""
+    return suffixes.trimmed_documents(docs, window=PASSAGE_BYTES, keep_first=True)
 
 
 def _contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
