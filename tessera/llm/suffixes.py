@@ -264,35 +264,32 @@ def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...]
     return out
 
 
-def without(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Texts without the bytes of their spans (start, end)."""
+def without(text: str | None, spans: list[dict]) -> tuple[bytes, int, int]:
+    """A text's bytes without those of its spans (start, end), how many went, and in how many runs."""
+    raw, kept, at, removed, runs = (text or "").encode("utf-8", "surrogatepass"), [], 0, 0, 0
+    reach = -1
+    for span in sorted((s["start"], s["end"]) for s in spans):
+        if span[0] > reach:
+            runs += 1
+            kept.append(raw[max(at, 0) : span[0]])
+        removed += max(0, span[1] - max(span[0], at))
+        at = reach = max(at, span[1])
+    return b"".join([*kept, raw[at:]]), removed, runs
+
+
+def cut_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What ``without`` leaves of the texts of a batch."""
     rows = []
     for uid, text, spans in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-        raw, kept, at, removed, runs = (text or "").encode("utf-8", "surrogatepass"), [], 0, 0, 0
-        reach = -1
-        for span in sorted((s["start"], s["end"]) for s in spans):
-            if span[0] > reach:
-                runs += 1
-                kept.append(raw[max(at, 0) : span[0]])
-            removed += max(0, span[1] - max(span[0], at))
-            at = reach = max(at, span[1])
-        rest = b"".join([*kept, raw[at:]])
+        rest, removed, runs = without(text, spans)
         rows.append((uid, removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n_removed", "n_spans", "cut_sha256", "kept_text"])
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, slot_parts: tuple[int, ...] = SLOTS, group: int = GROUP, keep_first: bool = False) -> DataFrame:
-    """(id, uid, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row: without the bytes that
-    are covered by ``window`` bytes which also start anywhere else, in this text or another. With
-    ``keep_first``: which also start in a text of a smaller id or earlier in this one, so that one copy
-    of what repeats stays (a null id counts as the largest; rows equal in id and text lose the same).
-
-    kept_text is null where all stay; kept_sha256 is of the bytes that are left, kept_text leaves out
-    what a cut has left of a character. Rows are documents of their own even if they are equal: both lose what they share.
-    Strings are told apart by 64-bit hashes of their surroundings and, in transforms, by their bytes.
-    Null texts are empty. Null ids are ids like others. No rows: no rows. Other columns are not read.
-    """
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, slot_parts: tuple[int, ...] = SLOTS, group: int = GROUP, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): texts has (uid, id, n_bytes, kept_sha256 of the whole text) of each row; spans has
+    (uid, spans: start and end of bytes) of each text that loses some. See ``deduplicated``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("uid", row_uid(F.col("id"), F.col("text")))
     texts = materialize(map_batches(rows, lambda b: contexts(b, window, gram), CONTEXTS, rows=_ROWS), "contexts")
     each = texts.select("uid", F.coalesce("id", F.lit((1 << 63) - 1)).alias("first"), F.inline("contexts"))
@@ -309,31 +306,55 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     widths = (*(max(2, (window - gram) // n) for n in slot_parts), 1)
     found = repeats(segments, window, gram, widths, group, keep_first).select("key", "ctx", F.col("lo").alias("from"), F.col("hi").alias("to"))
     if keep_first:
-        alike = alike.join(alike.groupBy("key").agg(F.min(place).alias("least")), "key").where(place != F.col("least"))
+        alike = alike.join(materialize(alike.groupBy("key").agg(F.min(place).alias("least")), "first-copies"), "key").where(place != F.col("least"))
         told = differ.join(tally.select("key", "ctx", "m"), ["key", "ctx"])
         copied, asking = told.where(place != F.col("m")), told.where(place == F.col("m"))
     else:
         copied, asking = differ.join(tally.where("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi"), differ
     more = asking.join(found, ["key", "ctx"]).select("uid", (F.col("lo") + F.col("from")).alias("start"), (F.col("lo") + F.col("to") + window).alias("end"))
     spans = alike.select("uid", "lo", "hi").unionByName(copied.select("uid", "lo", "hi")).select("uid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")).unionByName(more)
-    per_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    done = map_batches(rows.select("uid", "text").join(per_text, "uid"), without, "uid binary, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
+    return texts.drop("contexts"), spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, uid, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row: without the bytes that
+    are covered by ``window`` bytes which also start anywhere else, in this text or another. With
+    ``keep_first``: which also start in a text of a smaller id or earlier in this one, so that one copy
+    of what repeats stays (a null id counts as the largest; rows equal in id and text lose the same).
+
+    kept_text is null where all stay; kept_sha256 is of the bytes that are left, kept_text leaves out
+    what a cut has left of a character. Rows are documents of their own even if they are equal: both lose what they share.
+    Strings are told apart by 64-bit hashes of their surroundings and, in transforms, by their bytes.
+    Null texts are empty. Null ids are ids like others. No rows: no rows. Other columns are not read.
+    """
+    texts, per_text = removals(docs, id_col=id_col, text_col=text_col, **options)
+    rows = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
+    done = map_batches(rows.join(per_text, "uid"), cut_texts, "uid binary, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
     done = done.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "cut_sha256", "kept_text")))
     zero = F.lit(0).cast("long")
-    return texts.drop("contexts").join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
+    return texts.join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
 
 
 def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """``docs``, all rows and columns, with their texts less what ``deduplicated`` (with ``options``)
     removes; ``length_col`` (if there is one) is set to the new length where the text changes. Columns
     may have any names."""
-    changed = deduplicated(docs, id_col=id_col, text_col=text_col, **options).where("kept_text is not null").groupBy("uid").agg(F.first("kept_text").alias("kept"))
-    packed = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), F.struct("*").alias("row"))
-    joined = packed.join(changed, "uid", "left")
-    new = {text_col: F.coalesce("kept", F.col("row")[text_col])}
-    if length_col in docs.columns:
-        new[length_col] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(F.col("row")[length_col])
-    return joined.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    _, per_text = removals(docs, id_col=id_col, text_col=text_col, **options)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    packed = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    joined = packed.join(per_text, "uid", "left")
+    text, length = names[docs.columns.index(text_col)], names[docs.columns.index(length_col)] if length_col in docs.columns else None
+
+    def trimmed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spans = batch.column(text).to_pylist(), batch.column("spans").to_pylist()
+        texts = [t if s is None else without(t, s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
+        new = {text: pa.array(texts, batch.schema.field(text).type)}
+        if length:
+            sizes = zip(texts, spans, batch.column(length).to_pylist(), strict=True)
+            new[length] = pa.array([n if s is None else len(t) for t, s, n in sizes], batch.schema.field(length).type)
+        return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+
+    return map_batches(joined, trimmed, packed.drop("uid").schema, rows=_ROWS).toDF(*docs.columns)
 
 
 def repeats_rows(texts: DataFrame) -> bool:

@@ -216,7 +216,7 @@ def test_contamination(spark, docs, nothing):
                     names.add("" if item is None else str(item))
         expected.append((i, len(w), len(hit), sorted(names)))
     for size in (100_000, 20):
-        found = decontaminate.contamination(docs, bench, words_a_pass=size).select("id", "n_words", "n_hit", "items").collect()
+        found = decontaminate.contamination(docs, bench, looked_up_words=size).select("id", "n_words", "n_hit", "items").collect()
         assert sorted(((*r[:3], list(r[3])) for r in found), key=lambda x: (*key(x[:3]), x[3])) == sorted(expected, key=lambda x: (*key(x[:3]), x[3]))
     clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns and clean.where("doc_id = 6").count() == 0 and clean.where("doc_id = 3").count() == 1
