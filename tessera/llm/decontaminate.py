@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     No rows: no rows; no items: no hits. Other columns are not read.
     """
     of, w = F.col(text_col), window - k + 1
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(of, F.lit(""))).alias("row_key"), words(of).alias("w"))
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(of, F.lit(""))).alias("row_key"), of.alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(item_text_col)).alias("item_w")).where(F.size("item_w") > 0).distinct()
     items = items.withColumn("item_id", F.concat_ws(":", F.xxhash64("item_w").cast("string"), "item"))
     sizes = {r["n"]: r["total"] for r in items.groupBy(F.least(F.size("item_w"), F.lit(window)).alias("n")).agg(F.sum(F.size("item_w")).alias("total")).collect()}
@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     places = [found_places("m", window, keys[window], new), *(found_places(f"g{n}", n, keys[n]) for n in lengths)]
     # one row a document (n = 0) in front, so that the same scan tells the number of words
     whole = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("key")))
-    rows = with_smallest(hashed(read, [k, *lengths]), k, w)
+    rows = with_smallest(hashed(read.select("id", "row_key", words(F.col("text")).alias("w")), [k, *lengths]), k, w)
     rows = rows.select("id", "row_key", F.size("w").cast("long").alias("n_words"), F.col(f"g{k}").alias("g"), F.explode(F.concat(whole, *places)).alias("at"))
     p = F.when(F.col("at.n") == window, place_of(F.col("at.i"), F.col("at.key"), F.col("g"), w)).otherwise(F.col("at.i"))
     rows = rows.select("id", "row_key", "n_words", F.col("at.n").alias("n"), F.col("at.key").alias("key"), p.alias("p"))
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     seeds = materialize(seeds.select("id", "row_key", "n_words", "n", "item_id", "p", "q"), "seeds")
 
     hits = seeds.where("n > 0").groupBy(F.col("id").alias("of"), F.col("row_key").alias("of_key"), "item_id").agg(F.collect_set(F.struct("p", "q")).alias("seeds"))
-    met = read.join(hits, F.col("id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("of_key"))).join(small(items), "item_id")
+    met = read.join(materialize(hits, "hits"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("of_key"))).withColumn("w", words(F.col("text"))).join(small(items), "item_id")
     runs = met.select("id", "row_key", "item", F.filter(F.transform("seeds", lambda s: grown(s, window)), lambda x: x.isNotNull()).alias("spans")).where(F.size("spans") > 0)
     by_doc = runs.groupBy(F.col("id").alias("of"), F.col("row_key").alias("of_key")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     state = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).alias("reach"))
