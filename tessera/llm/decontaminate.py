@@ -84,7 +84,7 @@ def fingerprints(items: DataFrame, lengths: list[int], window: int, k: int) -> D
     """(n, key, item_id, q): of every window of an item the smallest hash of k words, n being ``window``; of
     an item of n words, which is fewer, the hash of all of them."""
     rows, w = with_smallest(hashed(items.withColumn("w", F.col("item_w")), [k, *lengths]), k, window - k + 1), window - k + 1
-    long = rows.where(F.size("w") >= window).select("item_id", F.col(f"g{k}").alias("g"), F.posexplode("m").alias("i", "key"))
+    long = rows.where(F.size("w") >= window).select("item_id", F.col(f"g{k}").alias("g"), F.posexplode_outer("m").alias("i", "key"))
     long = long.select(F.lit(window).alias("n"), "key", "item_id", place_of(F.col("i") + 1, F.col("key"), F.col("g"), w).alias("q")).distinct()
     short = F.coalesce(*(F.when(F.size("w") == n, F.element_at(f"g{n}", 1)) for n in lengths), F.lit(None).cast("long"))
     return long.unionByName(rows.where(F.size("w") < window).select(F.size("w").alias("n"), short.alias("key"), "item_id", F.lit(1).alias("q")))
@@ -122,10 +122,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     # the place of a smallest hash is a new one if it is another hash or its place has dropped out
     new = f"(j = 0 or x <> element_at(m, cast(j as int)) or element_at(g{k}, cast(j as int)) = element_at(m, cast(j as int)))" if not bounded else "true"
     places = [found_places("m", window, keys[window], new), *(found_places(f"g{n}", n, keys[n]) for n in lengths)]
+    # explode_outer: the filter that Spark derives from explode would spell all hashes out again, nested
     # one row a document (n = 0) in front, so that the same scan tells the number of words
     whole = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("key")))
     rows = with_smallest(hashed(read.select("id", "row_key", words(F.col("text")).alias("w")), [k, *lengths]), k, w)
-    rows = rows.select("id", "row_key", F.size("w").cast("long").alias("n_words"), F.col(f"g{k}").alias("g"), F.explode(F.concat(whole, *places)).alias("at"))
+    rows = rows.select("id", "row_key", F.size("w").cast("long").alias("n_words"), F.col(f"g{k}").alias("g"), F.explode_outer(F.concat(whole, *places)).alias("at"))
     p = F.when(F.col("at.n") == window, place_of(F.col("at.i"), F.col("at.key"), F.col("g"), w)).otherwise(F.col("at.i"))
     rows = rows.select("id", "row_key", "n_words", F.col("at.n").alias("n"), F.col("at.key").alias("key"), p.alias("p"))
     if not bounded:
