@@ -71,8 +71,9 @@ def is_datetime(text: Column) -> Column:
 
 
 def split_unit(header: str) -> tuple[str, str]:
-    """(name, unit) of a header: a unit in parentheses or brackets at its end, or one of ``SUFFIX_UNITS``."""
-    for pattern in (r"^(.*?)\s*\(([^()]+)\)\s*$", r"^(.*?)\s*\[([^\[\]]+)\]\s*$", rf"^(.*)[_ -]({'|'.join(map(re.escape, SUFFIX_UNITS))})\s*$"):
+    """(name, unit) of a header: a unit in parentheses or brackets at its end, or one of ``SUFFIX_UNITS``
+    after any run of blanks, dashes and underscores."""
+    for pattern in (r"^(.*?)\s*\(([^()]+)\)\s*$", r"^(.*?)\s*\[([^\[\]]+)\]\s*$", rf"^(.*?)[_ -]+({'|'.join(map(re.escape, SUFFIX_UNITS))})\s*$"):
         found = re.match(pattern, header.strip())
         if found and found[1].strip() and found[2].strip():
             return found[1].strip(), found[2].strip()

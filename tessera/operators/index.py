@@ -57,8 +57,9 @@ def embedded(parts: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     kinds = parts.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
 
     def run(frames):
-        for frame in frames:
-            if len(frame):
+        for whole in frames:
+            for at in range(0, len(whole), batch):  # whatever the session's batches are when the job starts
+                frame = whole.iloc[at : at + batch]
                 vectors = embed(frame["text"].tolist())
                 if len(vectors) != len(frame):
                     raise ValueError(f"{len(vectors)} vectors for {len(frame)} texts")

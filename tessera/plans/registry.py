@@ -484,6 +484,12 @@ def token_breakdown(read, spark):
     return prompts.token_totals(read("documents"), "source")
 
 
+@query(f"SELECT conv_id, turn, part, {prompt_tokens_sql('t')} AS tokens FROM (SELECT conv_id, turn, unnest(['role', 'text', 'empty']) AS part, unnest([role, text, '']) AS t FROM conversations)")
+def token_parts(read, spark):
+    parts = F.create_map(F.lit("role"), F.col("role"), F.lit("text"), F.col("text"), F.lit("empty"), F.lit(""))
+    return read("conversations").select("conv_id", "turn", F.explode(t.token_breakdown(parts)).alias("part", "tokens"))
+
+
 @query(f"SELECT source, tokens, CASE WHEN tokens > 200000 THEN 'error' WHEN tokens > 100000 THEN 'warn' ELSE 'ok' END AS state FROM ({TOTALS_SQL})")
 def project_quota(read, spark):
     return prompts.project_quota(read("documents"), project="source")

@@ -44,18 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or f"file://{tempfile.gettempdir()}/tessera-{os.getuid()}").rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later stages start from
     these files, so a lost executor costs its own tasks only. The files stay until removed with
     ``remove_materialized``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_materialized(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` has left in the shared folder."""
+    """Delete every table that ``materialize`` has left in this application's folder; other jobs keep theirs."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera")
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,6 +15,7 @@ def delimiter(path: str) -> str:
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """All columns as strings, in file order by the column ``__row``. Short rows are filled with nulls, cells
-    beyond the header are dropped, blank lines are no rows. Empty cells of .tsv rows keep their place."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("sep", sep or delimiter(path)).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", (sep or delimiter(path)) != "\t")
+    beyond the header are dropped, blank lines are no rows. Empty cells of .tsv rows keep their place.
+    Quoted cells may hold line feeds, so a file is read by one task; many files are read in parallel."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("sep", sep or delimiter(path)).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", (sep or delimiter(path)) != "\t")
     return reader.csv(path).withColumn(ROW, F.monotonically_increasing_id())

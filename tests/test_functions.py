@@ -41,6 +41,7 @@ def test_split_unit():
     assert split_unit("Concentration (g/L)") == ("Concentration", "g/L")
     assert split_unit("Temp [°F]") == ("Temp", "°F")
     assert split_unit("sugar_Brix") == ("sugar", "Brix")
+    assert split_unit("Dose__mg/L") == ("Dose", "mg/L") and split_unit("Trace - mg/L") == ("Trace", "mg/L")
     assert split_unit("Price (net)") == ("Price", "net")
     assert split_unit("(g/L)") == ("(g/L)", "") and split_unit(" plain ") == ("plain", "")
 
