@@ -31,13 +31,11 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
-def map_groups(df: DataFrame, by: tuple[str, ...], function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, weight: Column, a_task: int) -> DataFrame:
-    """``function`` over the rows in groups of ``by``, one group after another. The number of tasks is
-    the total ``weight`` by ``a_task``, at least the session's: work that grows faster than bytes isn't
-    left to the merging of small partitions. ``df`` is read twice, so it should be a written table."""
-    spark = df.sparkSession
-    total = df.agg(F.sum(weight)).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // a_task))
+def map_groups(df: DataFrame, by: tuple[str, ...], function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tasks: int) -> DataFrame:
+    """``function`` over the rows in groups of ``by``, one group after another, in ``tasks`` tasks or as many
+    as the session's shuffles have: work that grows faster than bytes isn't left to the merging of
+    small partitions."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
     return df.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(function, schema)
 
 

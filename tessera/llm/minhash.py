@@ -189,8 +189,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     out[w.rows[i]] = key[key != 0]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(size), pa.array(out, pa.list_(pa.int64()))], ["id", "text_key", "size", "keys"])
 
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    sketches = materialize(map_batches(rows.withColumn("text_key", key), sketched, "id long, text_key string, size long, keys array<long>", rows=64), "sketches")
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    sketches = materialize(map_batches(rows.withColumn("text_key", key), sketched, "id long, text_key binary, size long, keys array<long>", rows=64), "sketches")
     distinct = sketches.where("keys is not null and id is not null").groupBy("text_key").agg(F.min(F.struct("id", "size", "keys")).alias("m"))
     distinct = numbered(materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.size", "m.keys"), "texts"), "text_key")
     placed = distinct.select("rep", "size", F.explode("keys").alias("key"))
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = reps.join(distinct.select(F.col("rep").alias("component"), F.col("least").alias("component_id")), "component")
     joined = sketches.where("keys is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), "first")
     alone = sketches.where("keys is null").select("id", "text_key", F.col("id").alias("component_id"), F.lit(True).alias("first"))
-    return joined.unionByName(alone).select("id", "text_key", "component_id", F.coalesce((F.col("id") == F.col("component_id")) & F.col("first"), F.lit(False)).alias("kept"))
+    return joined.unionByName(alone).select("id", F.lower(F.hex("text_key")).alias("text_key"), "component_id", F.coalesce((F.col("id") == F.col("component_id")) & F.col("first"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -253,8 +253,9 @@ def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...]
         alike = live.where(rank != F.col("one") if keep_first else F.expr("times > 1 and copies = 1")).select("key", "ctx", F.col("off").alias("lo"), (F.col("off") + F.col("n") - 1).alias("hi"))
         # of equal parts one is enough to compare with; if both go, only a part without an equal asks
         others = live.where((F.col("kinds") > 1) & (rank == F.col("one"))).withColumn("open", F.lit(True) if keep_first else F.expr("times = 1 and copies = 1"))
-        small = materialize(cut(segments, others.where(F.col("kinds") <= group), window), "pieces")
-        met = map_groups(small, ("slot",), lambda it: transforms(it, window, gram, keep_first), "key long, ctx long, lo int, hi int", F.octet_length("segment"), TRANSFORM)
+        small = others.where(F.col("kinds") <= group)
+        total = small.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
+        met = map_groups(cut(segments, small, window), ("slot",), lambda it: transforms(it, window, gram, keep_first), "key long, ctx long, lo int, hi int", -(-total // TRANSFORM))
         found = materialize(alike.unionByName(met), "repeats")
         out = found if out is None else out.unionByName(found)
         large = others.where(F.col("kinds") > group).select("key", "ctx").distinct()
