@@ -10,7 +10,12 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 where a vector is empty or zero, or their lengths differ."""
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity; 0 where a vector is empty or zero, or their lengths differ. Norms that are known need
+    not be worked out for each pair."""
+    norms = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0), _dot(a, b) / norms).otherwise(F.lit(0.0))

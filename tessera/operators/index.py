@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import allowed
-from tessera.functions.vectors import cosine
+from tessera.functions.vectors import cosine, norm
 from tessera.operators.chunks import chunks
 from tessera.session import materialize
 
@@ -128,7 +128,9 @@ def search_many(records: DataFrame, queries: DataFrame, *, k: int = 6, min_score
     from pyspark.sql import Window as W
 
     def best(block: DataFrame) -> DataFrame:
-        pairs = records.crossJoin(F.broadcast(block)).withColumn("score", cosine(F.col(vector_col), F.col(query_col))).where(F.col("score") >= min_score)
+        known = F.broadcast(block.withColumn("__query_norm", norm(F.col(query_col))))
+        pairs = records.withColumn("__norm", norm(F.col(vector_col))).crossJoin(known)
+        pairs = pairs.withColumn("score", cosine(F.col(vector_col), F.col(query_col), F.col("__norm"), F.col("__query_norm"))).drop("__norm", "__query_norm").where(F.col("score") >= min_score)
         place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), *ties))  # Spark limits each task's groups before the shuffle
         return pairs.withColumn("place", place).where(F.col("place") <= k)
 

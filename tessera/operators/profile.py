@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, ShortType
 
 from tessera.functions.text import sample_cell, trim_all
 from tessera.functions.values import UNIT_TARGETS, convert_unit, is_datetime, plain_number, split_unit, to_number
@@ -65,21 +66,31 @@ def strings(table: DataFrame) -> DataFrame:
     return table.select([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in table.columns])
 
 
+def typed_number(table: DataFrame, header: str) -> Column:
+    """A column's finite numbers where its type says that it has numbers, which need no parsing and are in no locale; else null."""
+    number, kind = F.col(f"`{header}`"), table.schema[header].dataType
+    if isinstance(kind, DoubleType):
+        return F.when(F.abs(number) < float("inf"), number)
+    return number.cast("double") if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)) else F.lit(None).cast("double")
+
+
 def cells(table: DataFrame, options: ProfileOptions = ProfileOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
     """(pos, name, unit, value, number, kind) of every cell, and the columns ``keep``; number is in the
-    target unit, kind is missing, numeric, datetime or text."""
+    target unit, kind is missing, numeric, datetime or text. Only cells that ``typed_number`` doesn't know are parsed."""
     entries, converted = [], F.col("plain_number")
     for pos, header in enumerate(c for c in table.columns if c not in keep):
         name, unit = split_unit(header)
         _, shown = convert_unit(F.col("plain_number"), unit, options.unit_targets)
         if shown != unit:
             converted = F.when(F.col("pos") == pos, convert_unit(F.col("plain_number"), unit, options.unit_targets)[0]).otherwise(converted)
-        entries.append(F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("name"), F.lit(shown).alias("unit"), F.coalesce(F.col(f"`{header}`").cast("string"), F.lit("")).alias("raw")))
+        entries.append(F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("name"), F.lit(shown).alias("unit"), F.coalesce(F.col(f"`{header}`").cast("string"), F.lit("")).alias("raw"), typed_number(table, header).alias("typed")))
     # step by step, so that each step's expression is evaluated once a cell
-    long = table.select(*(F.col(f"`{c}`") for c in keep), F.inline(F.array(*entries))).withColumn("value", trim_all(F.col("raw"))).drop("raw")
-    long = long.withColumn("plain", plain_number(F.col("value"), options.decimal, options.thousands)).withColumn("plain_number", to_number(F.col("plain")))
+    long = table.select(*(F.col(f"`{c}`") for c in keep), F.inline(F.array(*entries))).withColumn("value", F.when(F.col("typed").isNotNull(), F.col("raw")).otherwise(trim_all(F.col("raw")))).drop("raw")
+    untyped = F.col("typed").isNull()
+    long = long.withColumn("plain", F.when(untyped, plain_number(F.col("value"), options.decimal, options.thousands)))
+    long = long.withColumn("plain_number", F.when(untyped, to_number(F.col("plain"))).otherwise(F.col("typed")))
     kind = F.when(F.col("value") == "", "missing").when(F.col("plain_number").isNotNull(), "numeric").when(is_datetime(F.col("value")), "datetime").otherwise("text")
-    return long.withColumn("kind", kind).withColumn("number", converted).drop("plain", "plain_number")
+    return long.withColumn("kind", kind).withColumn("number", converted).drop("typed", "plain", "plain_number")
 
 
 def is_category(value: Column, kind: Column) -> Column:

@@ -212,3 +212,15 @@ def test_stream_equals_table(spark, tmp_path):
     run.awaitTermination()
     key = lambda df: sorted((r["hour"], r["event_type"], r["n"], r["min"], r["max"]) for r in df.collect())
     assert key(spark.table("hourly")) == key(hourly_profile(events))
+
+
+def test_typed_cells_need_no_parsing(spark):
+    rows = [(1, 1.5, "1,5"), (None, float("nan"), " 2,5 "), (3, float("inf"), ""), (4, -2.5, "x")]
+    table = spark.createDataFrame(rows, "whole long, real double, spelled string")
+    found = profile.cells(table, profile.ProfileOptions(decimal=",", thousands="."))
+    kinds = {(r["name"], r["value"]): (r["kind"], r["number"]) for r in found.collect()}
+    assert kinds["whole", "1"] == ("numeric", 1.0) and kinds["whole", ""] == ("missing", None)
+    assert kinds["real", "1.5"] == ("numeric", 1.5) and kinds["real", "-2.5"] == ("numeric", -2.5)  # no locale
+    assert kinds["real", "Infinity"][1] == float("inf") and kinds["real", "NaN"][0] == "numeric"
+    assert kinds["spelled", "1,5"] == ("numeric", 1.5) and kinds["spelled", "2,5"] == ("numeric", 2.5)
+    assert kinds["spelled", "x"] == ("text", None) and kinds["spelled", ""] == ("missing", None)
