@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,16 +24,20 @@ def components(edges: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node"), F.col("a").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
         moves = materialize(ends.groupBy("node").agg(F.min("to").alias("to")), "moves")
         further = moves.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        moves = materialize(moves.join(further, "to").select("node", F.col("further").alias("to")), "moves")
+        near, moves = moves, materialize(moves.join(further, "to").select("node", F.col("further").alias("to")), "moves")
+        release(near)
+        before = links, moves, labels
         if labels is None:
-            labels = moves.withColumnRenamed("to", "component")
+            labels = materialize(moves.withColumnRenamed("to", "component"), "labels")
         else:
             after = labels.join(moves.select(F.col("node").alias("component"), "to"), "component", "left")
             labels = materialize(after.select("node", F.coalesce("to", "component").alias("component")), "labels")
         moved = lambda end: moves.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
         joined = links.where("a < b").join(moved("a"), "a").join(moved("b"), "b").where("a_to <> b_to")
         links = materialize(joined.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "links")
+        release(*(x for x in before if x is not None))
         if links.isEmpty():
+            release(links)
             return labels
 
 

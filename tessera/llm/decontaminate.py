@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, settled
 
 #: Words after A-Z are lower-cased: runs of digits, a-z and everything outside ASCII.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -158,8 +158,8 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``contamination`` finds contaminated; columns and repeats stay."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("id", "row_key").distinct()
+    contaminated = is_contaminated(F.col("n_hit"), F.col("n_words"))
+    bad = settled(lambda: contamination(docs, benchmark, id_col=id_col, text_col=text_col).where(contaminated).select("id", "row_key").distinct(), "contaminated")
     packed = docs.select(docs[id_col].alias("of"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("of_key"), F.struct("*").alias("row"))
     clean = packed.join(bad, F.col("of").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("row_key")), "left_anti")
     return clean.select(*(F.col("row")[c].alias(c) for c in docs.columns))

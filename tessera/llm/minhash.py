@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.arrow import map_batches, mixed
 from tessera.llm.components import components, numbered
 from tessera.llm.tokens import BASES, Words, prefix_sums, run_hashes, words
-from tessera.session import materialize
+from tessera.session import materialize, release, settled
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -195,9 +195,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct = numbered(materialize(distinct.select("text_key", F.col("m.id").alias("rep"), "m.size", "m.keys"), "texts"), "text_key")
     placed = distinct.select("rep", "size", F.explode("keys").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("key", "b")
-    bucketed = materialize(placed.join(materialize(buckets, "shared-sketches"), "key"), "buckets")
+    bucketed = settled(lambda: placed.join(materialize(buckets, "shared-sketches"), "key"), "buckets")
     votes = bucketed.where("rep <> b").groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
-    members = materialize(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("rep", (-F.col("m.b")).alias("b")), "stars")
+    stars = materialize(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("rep", (-F.col("m.b")).alias("b")), "stars")
     # texts that share a sketch, once for both comparisons
     candidates = bucketed.select("rep").distinct().join(distinct.select("rep", "least", "text_key"), "rep")
     texts = rows.withColumn("whole_key", key).join(candidates, (F.col("id") == F.col("least")) & (F.col("whole_key") == F.col("text_key")))
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     place = lambda of, blocks: F.pmod(F.xxhash64(of), F.col(blocks)).cast("int")
     # each text once, with the smallest text of most of its buckets; that one goes with every block of its texts, and
     # some texts go with the next block too, so that blocks of similar texts hang together whatever that one is like
-    members = members.select("rep", F.col("b").alias("bucket"))
+    members = stars.select("rep", F.col("b").alias("bucket"))
     sizes = members.groupBy("bucket").agg(blocks_of(F.count(F.lit(1))).alias("blocks"))
     around = members.join(sizes, "bucket").withColumn("block", place("rep", "blocks"))
     onward = around.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", "bucket"), F.lit(ONWARD)) == 0)).withColumn("block", F.pmod(F.col("block") + 1, F.col("blocks")))
@@ -237,10 +237,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     step = F.floor(F.log(F.col("size")) / -float(np.log(similarity))).cast("int")
     parted = bucketed.join(parts, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part"), F.explode(F.array(step, step + 1)).alias("step"), "key")
     parted = materialize(parted.select("rep", "part", F.xxhash64("key", "step").alias("bucket")), "parts")
+    release(bucketed, stars)
     counted = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     tops = counted.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("top.part").alias("top"))
     large = parts.groupBy(F.col("part").alias("top")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     opened = materialize(parted.join(tops, "bucket").join(large.select("top", blocks_of("n").alias("most")), "top", "left").select("bucket", "rep", "part", "top", "most"), "opened")
+    release(parted)
     # a text of a bucket in which a large part is first meets all blocks of that part, once for all buckets
     outside = opened.where("part <> top and most is not null").select("top", "rep", "most").distinct()
     outside = materialize(outside, "outside")
@@ -252,7 +254,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         parts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     # what buckets hold beside such a part
     beside = opened.where("part <> top or most is null").select("bucket", "rep").join(parts, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
-    beside = materialize(beside, "beside")
+    beside = outsiders = materialize(beside, "beside")
+    release(opened, outside)
     several = beside.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("y")).where("lo < hi")
     beside = beside.join(materialize(several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "several-parts"), "bucket")
     counted = beside.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -264,6 +267,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("most")))))
     dealt = dealt.select("rep", "bucket", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     parts = components(links.unionByName(compared(dealt)))
+    release(texts, outsiders)
     reps = distinct.select("text_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("text_key").alias("of"), F.coalesce("component", "rep").alias("component"), F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("first"))
     reps = reps.join(distinct.select(F.col("rep").alias("component"), F.col("least").alias("component_id")), "component")
     joined = sketches.where("keys is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), "first")
@@ -274,10 +278,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are: that with the
     smallest id, and of rows equal in id and text one. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("id is not null")
-    counted = found.groupBy("id", "text_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-    counted = materialize(counted.where("kept").select("id", "text_key", "times"), "kept")
-    packed = docs.select(docs[id_col].cast("long").alias("id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("text_key"), F.struct("*").alias("row"))
+
+    def counts() -> DataFrame:
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("id is not null")
+        counted = found.groupBy("id", "text_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+        return counted.where("kept").select("id", F.unhex("text_key").alias("text_key"), "times")
+
+    counted = settled(counts, "kept")
+    packed = docs.select(docs[id_col].cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).alias("text_key"), F.struct("*").alias("row"))
     out = packed.join(counted.where("times = 1"), ["id", "text_key"], "left_semi").unionByName(packed.where("id is null"))
     repeated = counted.where("times > 1")
     if not repeated.isEmpty():

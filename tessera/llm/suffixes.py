@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import lists, map_batches, map_groups, mixed, row_uid
 from tessera.llm.tokens import _BYTES, BASES, chunks, prefix_sums, run_hashes, utf8
-from tessera.session import materialize
+from tessera.session import materialize, release, settled
 
 WINDOW = 400
 #: A power of two.
@@ -250,6 +250,7 @@ def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...]
         tally = parts.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("times"), F.min(rank).alias("one"))
         many = tally.groupBy("slot").agg(F.count(F.lit(1)).alias("kinds"))
         live = materialize(parts.join(tally.join(many, "slot").where("kinds > 1 or times > 1"), ["slot", "part"]), "live-slots")
+        release(parts)
         alike = live.where(rank != F.col("one") if keep_first else F.expr("times > 1 and copies = 1")).select("key", "ctx", F.col("off").alias("lo"), (F.col("off") + F.col("n") - 1).alias("hi"))
         # of equal parts one is enough to compare with; if both go, only a part without an equal asks
         others = live.where((F.col("kinds") > 1) & (rank == F.col("one"))).withColumn("open", F.lit(True) if keep_first else F.expr("times = 1 and copies = 1"))
@@ -259,9 +260,12 @@ def repeats(segments: DataFrame, window: int, gram: int, widths: tuple[int, ...]
         found = materialize(alike.unionByName(met), "repeats")
         out = found if out is None else out.unionByName(found)
         large = others.where(F.col("kinds") > group).select("key", "ctx").distinct()
-        if width == widths[-1] or large.isEmpty():
+        more = width != widths[-1] and not large.isEmpty()
+        rest = materialize(segments.join(large, ["key", "ctx"], "left_semi"), "segments") if more else None
+        release(live, segments)
+        if not more:
             return out
-        segments = materialize(segments.join(large, ["key", "ctx"], "left_semi"), "segments")
+        segments = rest
     return out
 
 
@@ -298,6 +302,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     per_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).where("times > 1")
     shared = materialize(per_key.select("key", (F.col("one") != F.col("other")).alias("differ")), "shared")  # a plain join of files can be split where a key is frequent
     live = materialize(each.join(shared, "key"), "live-contexts")
+    release(shared)
     alike = live.where("not differ")
     differ = live.where("differ")
     tally = materialize(differ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("m")), "context-copies")
@@ -340,7 +345,7 @@ def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """``docs``, all rows and columns, with their texts less what ``deduplicated`` (with ``options``)
     removes; ``length_col`` (if there is one) is set to the new length where the text changes. Columns
     may have any names."""
-    _, per_text = removals(docs, id_col=id_col, text_col=text_col, **options)
+    per_text = settled(lambda: removals(docs, id_col=id_col, text_col=text_col, **options)[1], "spans")
     names = [f"c{i}" for i in range(len(docs.columns))]
     packed = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
     joined = packed.join(per_text, "uid", "left")
