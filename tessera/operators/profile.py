@@ -15,6 +15,7 @@ from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, Short
 
 from tessera.functions.text import sample_cell, trim_all
 from tessera.functions.values import UNIT_TARGETS, convert_unit, is_datetime, plain_number, split_unit, to_number
+from tessera.session import materialize
 
 #: Texts of more bytes are not counted as categories.
 CATEGORY_BYTES = 64
@@ -140,11 +141,33 @@ def text_examples(table: DataFrame, column: str, order: list[str], most: int = 3
     return table.select(*order, value.alias("value")).where("value <> ''").orderBy(*order).limit(most)
 
 
+def medians(numbers: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, median): exact medians of the numbers of each ``by`` that is not null; null
+    numbers are passed over.
+
+    Equal values are counted first; the counts lie in ranges of (by, value) over all tasks, so that a
+    frequent group is many ranges, and only the ranges with a middle number are looked into."""
+    counted = numbers.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    placed = materialize(counted.repartitionByRange(*by, "v").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*by, "range").agg(F.sum("times").alias("in_range"))
+    group = W.partitionBy(*by)
+    before = F.sum("in_range").over(group.orderBy("range")) - F.col("in_range")
+    sums = sums.select(*by, "range", before.alias("before"), F.sum("in_range").over(group).alias("n"), "in_range")
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = sums.where((F.col("before") < upper) & (F.col("before") + F.col("in_range") >= lower))
+    looked = placed.join(middle.drop("in_range"), [*by, "range"])
+    upto = F.col("before") + F.sum("times").over(W.partitionBy(*by, "range").orderBy("v"))
+    looked = looked.withColumn("upto", upto)
+    at_least = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v").cast("double")))
+    return looked.groupBy(*by).agg(F.first("n").alias("n"), (0.5 * at_least(lower) + 0.5 * at_least(upper)).alias("median"))
+
+
 def median_mad(numbers: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact median and median absolute deviation of ``value`` for each ``by``."""
-    median = numbers.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
-    around = numbers.where(F.col(value).isNotNull()).join(median, by)
-    return around.groupBy(*by).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    """Exact median and median absolute deviation of ``value`` for each ``by`` that is not null."""
+    median = medians(numbers, by, value)
+    around = numbers.where(F.col(value).isNotNull()).join(median.select(*by, "median"), by)
+    mad = medians(around.select(*by, F.abs(F.col(value) - F.col("median")).alias("apart")), by, "apart")
+    return median.join(mad.select(*by, F.col("median").alias("mad")), by).select(*by, "n", "median", "mad")
 
 
 def robust_outliers(numbers: DataFrame, by: list[str], value: str, threshold: float = 3.5) -> DataFrame:
