@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html, language, minhash, mixing, quality, substrings, suffixes, vectors, warc
+from tessera.llm import chat, conversations, decontaminate, html, language, minhash, mixing, quality, substrings, suffixes, trie, vectors, warc, whitening
 from tessera.llm.arrow import held_out
+from tessera.session import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +74,29 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op4_passages, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op9_repeats, op10_near_copies)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with the first turns of others."""
+    placed = conversations.placed_turns(table(spark, sf_dir, "conversations"))
+    return settled(lambda: trie.trie(*conversations.with_shared_heads(placed)), "trie")
+
+
+#: Two turns that say what the template's control strings are.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(turns.unionByName(added)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first eight components of their covariance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_vectors, op4_passages, op5_mix_sources, op6_main_text, op7_decontaminate, op8_language, op9_repeats, op10_near_copies, op11_prefix_trie, op12_chat_format, op13_whitening)}
 
 ORACLE_SQL = {
     "op4_passages": r"""
@@ -139,4 +162,41 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, key) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, sha256(strlen(r) || ':' || r || x) AS key FROM conversations WHERE conv_id IS NOT NULL)),
+sizes AS (SELECT conv_id, count(*) AS size, conv_id::VARCHAR AS id FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_transform(range(1, len(id) + 1), lambda i: ascii(substr(id, i, 1))::BIGINT),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, bit: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(c, b)), 4294967295), 4294967295) % 9 AS h
+  FROM sizes),
+c AS (SELECT crc.*, least(h, coalesce(size, 0)) AS shared FROM crc LEFT JOIN (SELECT conv_id AS base, size FROM sizes) USING (base)),
+s AS (
+  SELECT c.conv_id, p - h + shared AS d, key, x FROM c JOIN t USING (conv_id) WHERE p > h
+  UNION ALL SELECT c.conv_id, p, key, x FROM c JOIN t ON t.conv_id = c.base WHERE p <= shared),
+k AS (
+  SELECT conv_id, d, x, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM s
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+nodes AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(strlen(x)) AS own FROM k GROUP BY d, path),
+parents AS (SELECT n.d, n.path, k.path AS up FROM nodes n JOIN k ON k.conv_id = n.conv_id AND k.d = n.d - 1),
+children AS (SELECT up AS path, count(*) AS n_children FROM parents GROUP BY up),
+below AS (
+  SELECT k.path, count(*) FILTER (c.path IS NULL) AS n_leaves, sum(n.own) AS saved
+  FROM nodes n LEFT JOIN children c USING (path) JOIN k ON k.conv_id = n.conv_id AND k.d <= n.d GROUP BY k.path),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN (SELECT conv_id, max(d) AS d FROM k GROUP BY conv_id) USING (conv_id, d) GROUP BY path)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN parents p USING (path) LEFT JOIN nodes u ON u.path = p.up LEFT JOIN children USING (path) JOIN below USING (path) LEFT JOIN ends USING (path)""",
+    "op12_chat_format": r"""
+WITH t AS (
+  SELECT *, strlen(r) || ':' || r || x AS whole, replace(replace(replace(x, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') AS shown,
+    replace(replace(replace(replace(r, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ':', '\:') AS head
+  FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+    UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, sha256(whole))) AS turns_sha256,
+  coalesce(sum(len(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, sha256(whole)) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(len(head) + len(shown) + 14)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
 }
