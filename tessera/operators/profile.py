@@ -7,6 +7,8 @@ column and task, whatever the table's size.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,10 +17,15 @@ from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, Short
 
 from tessera.functions.text import sample_cell, trim_all
 from tessera.functions.values import UNIT_TARGETS, convert_unit, is_datetime, plain_number, split_unit, to_number
-from tessera.session import materialize
 
 #: Texts of more bytes are not counted as categories.
 CATEGORY_BYTES = 64
+#: Ranks in a quantile sketch are off by a share of 1 / ACCURACY at most.
+ACCURACY, STEPS = 10_000, 64
+#: Where a sketch is asked: close around the middle, and in steps over all.
+POINTS = tuple(sorted({i / STEPS for i in range(STEPS + 1)} | {0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY}))
+#: Values between two points of a sketch that a task may put in order.
+MOST_ORDERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -141,32 +148,60 @@ def text_examples(table: DataFrame, column: str, order: list[str], most: int = 3
     return table.select(*order, value.alias("value")).where("value <> ''").orderBy(*order).limit(most)
 
 
-def medians(numbers: DataFrame, by: list[str], value: str) -> DataFrame:
+def bracket(sketch: Column, n: Column, below: Column, inside: Column) -> tuple[Column, Column]:
+    """The two points of a sketch of ``inside`` values between which the middle ones of ``n`` lie, if ``below``
+    values are smaller than all of them; null where the sketch has no such point."""
+    points = F.array(*map(F.lit, POINTS))
+    apart = F.lit(1.5 / ACCURACY)  # more than a rank's error
+    first, last = (n + 1 - (n + 1) % 2) / 2, (n - n % 2) / 2 + 1
+    under = F.size(F.filter(points, lambda p: p <= (first - below) / inside - apart))
+    upto = F.size(F.filter(points, lambda p: p < (last - below) / inside + apart)) + 1
+    some = inside > 0
+    return F.when(some & (under > 0), F.try_element_at(sketch, under)), F.when(some, F.try_element_at(sketch, upto))
+
+
+def medians(numbers: DataFrame, by: list[str], value: str, largest: int | None = None) -> DataFrame:
     """(by, n, median): exact medians of the numbers of each ``by`` that is not null; null
-    numbers are passed over.
-
-    Equal values are counted first; the counts lie in ranges of (by, value) over all tasks, so that a
-    frequent group is many ranges, and only the ranges with a middle number are looked into."""
-    counted = numbers.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("times"))
-    placed = materialize(counted.repartitionByRange(*by, "v").withColumn("range", F.spark_partition_id()), "ranges")
-    sums = placed.groupBy(*by, "range").agg(F.sum("times").alias("in_range"))
-    group = W.partitionBy(*by)
-    before = F.sum("in_range").over(group.orderBy("range")) - F.col("in_range")
-    sums = sums.select(*by, "range", before.alias("before"), F.sum("in_range").over(group).alias("n"), "in_range")
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middle = sums.where((F.col("before") < upper) & (F.col("before") + F.col("in_range") >= lower))
-    looked = placed.join(middle.drop("in_range"), [*by, "range"])
-    upto = F.col("before") + F.sum("times").over(W.partitionBy(*by, "range").orderBy("v"))
-    looked = looked.withColumn("upto", upto)
-    at_least = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v").cast("double")))
-    return looked.groupBy(*by).agg(F.first("n").alias("n"), (0.5 * at_least(lower) + 0.5 * at_least(upper)).alias("median"))
+    numbers are passed over, NaN is above all.
+
+    A quantile sketch of each group, added up from sketches of tasks, gives two values that have the middle
+    between them, a few ten-thousandths of the group apart. The next pass counts what is below and each value
+    between, so only these are shuffled. Groups of more than about 10 ** 9 numbers are narrowed again,
+    as often as ``largest`` (the largest group's size, counted if it isn't given) asks for, so that what one task
+    orders is bounded. The counts are exact: should a sketch ever be worse than its bound, that is
+    an error, never another median. Nothing is written."""
+    v = F.col("v")
+    rows = numbers.select(*by, F.col(value).alias("v")).where(F.col(value).isNotNull() & reduce(and_, [F.col(c).isNotNull() for c in by], F.lit(True)))
+    if largest is None:
+        largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    number = lambda x: F.when(~F.isnan(x), x)
+    sketch = lambda x: (F.count(number(x)).alias("inside"), F.percentile_approx(number(x), list(POINTS), ACCURACY).alias("sketch"))
+    found = rows.groupBy(*by).agg(F.count(v).alias("n"), *sketch(v)).withColumn("below", F.lit(0).cast("long"))
+    above, under = F.col("lo").isNull() | (v >= F.col("lo")), F.col("hi").isNull() | (v <= F.col("hi"))
+    left = largest * 7 / ACCURACY
+    while True:
+        lo, hi = bracket(F.col("sketch"), F.col("n"), F.col("below"), F.col("inside"))
+        placed = rows.join(found.select(*by, "n", lo.alias("lo"), hi.alias("hi")), by)
+        if left <= MOST_ORDERED:
+            break
+        found = placed.groupBy(*by).agg(F.first("n").alias("n"), F.count_if(~above).alias("below"), *sketch(F.when(above & under, v)))
+        left *= 3 / STEPS
+    counted = placed.where(under).groupBy(*by, "n", F.when(above, v).alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    upto = F.sum("times").over(W.partitionBy(*by).orderBy(v.asc_nulls_first()))
+    rank = lambda r: F.min(F.when((F.col("upto") >= r) & v.isNotNull(), v.cast("double")))
+    first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    ordered = counted.withColumn("upto", upto).groupBy(*by).agg(F.first("n").alias("n"), F.coalesce(F.max(F.when(v.isNull(), F.col("times"))), F.lit(0)).alias("below"), F.max("upto").alias("reached"), (0.5 * rank(first) + 0.5 * rank(last)).alias("median"))
+    sure = (F.col("below") < first) & (F.col("reached") >= last)
+    return ordered.select(*by, "n", F.when(sure, F.col("median")).otherwise(F.raise_error(F.lit("a sketch missed its middle")).cast("double")).alias("median"))
 
 
 def median_mad(numbers: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact median and median absolute deviation of ``value`` for each ``by`` that is not null."""
-    median = medians(numbers, by, value)
-    around = numbers.where(F.col(value).isNotNull()).join(median.select(*by, "median"), by)
-    mad = medians(around.select(*by, F.abs(F.col(value) - F.col("median")).alias("apart")), by, "apart")
+    numbers = numbers.where(F.col(value).isNotNull())
+    largest = numbers.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    median = medians(numbers, by, value, largest)
+    around = numbers.join(median.select(*by, "median"), by)
+    mad = medians(around.select(*by, F.abs(F.col(value) - F.col("median")).alias("apart")), by, "apart", largest)
     return median.join(mad.select(*by, F.col("median").alias("mad")), by).select(*by, "n", "median", "mad")
 
 
