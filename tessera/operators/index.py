@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import allowed
-from tessera.functions.vectors import cosine, norm
+from tessera.functions.vectors import cosine
 from tessera.operators.chunks import chunks
+from tessera.operators.nearest import best_of, search_block
 from tessera.session import materialize
 
 KEYS = ["doc_id", "chunk_id", "chunk_hash"]
@@ -121,18 +122,14 @@ def search(records: DataFrame, query: list[float], *, k: int = 6, min_score: flo
 
 
 def search_many(records: DataFrame, queries: DataFrame, *, k: int = 6, min_score: float = 0.0, vector_col: str = "vector", query_col: str = "query", query_id: str = "query_id", ties: tuple[str, ...] = ("doc_name", "chunk_id"), most_queries: int = 10_000) -> DataFrame:
-    """The k best records for each query, of any number of queries. Queries are dealt into blocks by their
-    id, of half of ``most_queries`` on average; a block is broadcast, each task keeps the best of its rows,
-    and only those are shuffled. Of several blocks each has its result written before the next is searched;
-    a query lies in one block, so the results need no merging."""
-    from pyspark.sql import Window as W
+    """The k best records for each query, of any number of queries; exact, ties by ``ties``. Queries are dealt
+    into blocks by their id, of half of ``most_queries`` on average; each task keeps the best of its rows for a
+    block (``nearest.search_block``), and only those are shuffled. Of several blocks each has its result written before
+    the next is searched; a query lies in one block, so the results need no merging."""
 
     def best(block: DataFrame) -> DataFrame:
-        known = F.broadcast(block.withColumn("__query_norm", norm(F.col(query_col))))
-        pairs = records.withColumn("__norm", norm(F.col(vector_col))).crossJoin(known)
-        pairs = pairs.withColumn("score", cosine(F.col(vector_col), F.col(query_col), F.col("__norm"), F.col("__query_norm"))).drop("__norm", "__query_norm").where(F.col("score") >= min_score)
-        place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), *ties))  # Spark limits each task's groups before the shuffle
-        return pairs.withColumn("place", place).where(F.col("place") <= k)
+        found = search_block(records, block, k=k, least=min_score, vector_col=vector_col, query_col=query_col, ties=ties)
+        return best_of(found, query_id, ties, k)
 
     n = queries.count()
     if n <= most_queries:
