@@ -57,6 +57,15 @@ def recommended(provider: str, tier: str) -> str | None:
     return TIERS.get(tier, {}).get(ALIASES.get(provider, provider))
 
 
+def recommendations(requests: DataFrame, provider: str = "provider", tier: str = "tier") -> DataFrame:
+    """Requests with the model that their provider and tier recommend, null where there is none. The table of
+    recommendations has a row for each provider of each tier."""
+    known = [(t, p, m) for t, models in TIERS.items() for p, m in models.items()]
+    table = requests.sparkSession.createDataFrame(known + [(t, a, m) for t, p, m in known for a, b in ALIASES.items() if b == p], "tier string, provider string, model string")
+    named = table.select(F.col("tier").alias("__tier"), F.col("provider").alias("__provider"), "model")
+    return requests.join(F.broadcast(named), (F.col(tier) == F.col("__tier")) & (F.col(provider) == F.col("__provider")), "left").drop("__tier", "__provider")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A catalog file: an object of models by name."""
     text = spark.read.text(path, wholetext=True).first()["value"]

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
-from datetime import UTC, datetime
+import uuid
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import prompt_tokens
-from tessera.operators import prompts
+from tessera.operators import prompts, versions
 from tessera.operators.catalog import builtin
 
 # What holds where neither an option nor the project says otherwise.
@@ -32,32 +32,66 @@ class Project:
 
 
 def save(docs: DataFrame, project: Project, path: str) -> Project:
-    """Write a version of the documents, then the settings that name it: a reader sees old or new, whole."""
-    version = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
-    docs.write.parquet(f"{path}/documents-{version}")
-    saved = Project(**asdict(project) | {"version": version})
-    docs.sparkSession.createDataFrame([asdict(saved)]).coalesce(1).write.mode("append").json(f"{path}/project")
+    """Write documents and settings as the version after ``project.version`` (none: the first). If the project in
+    ``path`` is at another version by now, that is a ``versions.Conflict``, and nothing is replaced."""
+    spark, name = docs.sparkSession, f"documents-{uuid.uuid4().hex}"
+    docs.write.parquet(f"{path}/{name}")
+    n = int(project.version or 0)
+    saved = replace(project, version=str(n + 1))
+    if versions.latest(spark, path)[0] != n or not versions.put(spark, path, n + 1, {"project": asdict(saved), "folders": [name]}):
+        raise versions.Conflict(f"the project in {path} has changed since version {n}")
     return saved
 
 
+def _documents(spark: SparkSession, path: str, record: dict) -> DataFrame:
+    return spark.read.parquet(*(f"{path}/{name}" for name in record["folders"]))
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, Project]:
-    row = spark.read.json(f"{path}/project").orderBy(F.desc("version")).first().asDict()
-    project = Project(**{k: row.get(k) if row.get(k) is not None else v for k, v in asdict(Project(row["name"])).items()})
-    return spark.read.parquet(f"{path}/documents-{project.version}"), project
+    """The newest version; settings that it does not have are the defaults."""
+    n, record = versions.latest(spark, path)
+    if record is None:
+        raise FileNotFoundError(f"no project in {path}")
+    known = {k: v for k, v in record["project"].items() if v is not None and k in Project.__dataclass_fields__}
+    return _documents(spark, path, record), Project(**known | {"version": str(n)})
 
 
 def add_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
     """The documents and new ones (path, name, description, text). A path that is known already, or too
     many tokens for a project, is an error."""
+    return docs.unionByName(_checked(docs, new))
+
+
+def _checked(docs: DataFrame, new: DataFrame) -> DataFrame:
+    """New documents as the project keeps them, if it may have them."""
     known = prompts.known_documents(new.where("path <> ''"), docs).select("path").limit(1).collect()
+    known = known or new.where("path <> ''").groupBy("path").count().where("count > 1").select("path").limit(1).collect()
     if known:
         raise ValueError(f"the project has {known[0]['path']} already")
     fresh = new.select(F.expr("uuid()").alias("id"), "path", "name", "description", "text", prompt_tokens(F.col("text")).alias("tokens"), F.current_timestamp().alias("added_at"))
-    both = docs.unionByName(fresh)
-    total = both.agg(F.sum("tokens")).first()[0] or 0
+    total = docs.select("tokens").unionByName(new.select(prompt_tokens(F.col("text")).alias("tokens"))).agg(F.sum("tokens")).first()[0] or 0
     if total > prompts.PROJECT_TOKENS:
         raise ValueError(f"{total} tokens exceed a project's {prompts.PROJECT_TOKENS}")
-    return both
+    return fresh
+
+
+def append(new: DataFrame, path: str) -> Project:
+    """Add documents to the project in ``path``: only they are written. If another writer is first, its documents are
+    checked against too and both stay; the checks are those of ``add_documents``."""
+    spark, name = new.sparkSession, f"documents-{uuid.uuid4().hex}"
+
+    def change(n: int, record: dict | None) -> dict:
+        if record is None:
+            raise FileNotFoundError(f"no project in {path}")
+        fresh = _checked(_documents(spark, path, record), new)
+        if not written:  # the checks are made again, the files stay
+            fresh.write.parquet(f"{path}/{name}")
+            written.append(name)
+        return {"project": record["project"] | {"version": str(n + 1)}, "folders": [*record["folders"], name]}
+
+    written: list[str] = []
+    _, record = versions.commit(spark, path, change)
+    return Project(**record["project"])
 
 
 @dataclass(frozen=True)

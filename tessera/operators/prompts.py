@@ -68,10 +68,10 @@ def build_prompt(instructions: str, blocks: str, task: str | None = None) -> str
 
 
 def with_context(prompt: str, chunks: list[tuple[str, int, str]]) -> str:
-    """The prompt with retrieved chunks (document, chunk, text) in front of the documents."""
+    """The prompt with retrieved chunks (document, chunk, text), numbered, in front of the documents."""
     if not chunks:
         return prompt
-    section = "[RETRIEVED CONTEXT]\n" + "".join(f"--- {name} (chunk {i}) ---\n{text}\n\n" for name, i, text in chunks)
+    section = "[RETRIEVED CONTEXT]\n" + "".join(f"-- {n}) {name} (chunk {i}) --\n{text}\n\n" for n, (name, i, text) in enumerate(chunks, 1))
     head, mark, rest = prompt.partition("[REFERENCE DOCUMENTS]")
     return head + section + mark + rest if mark else section + prompt
 

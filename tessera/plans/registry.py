@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.functions.values import is_datetime, parse_numeric
 from tessera.operators import catalog, chunks, groups, index, profile, prompts
+from tessera.session import run_dir
+from tessera.sources.delimited import ROW, read_delimited
 from tessera.streaming.profile import hourly_profile
 
 QUERIES: dict = {}
@@ -327,12 +331,97 @@ def chunk_cap(read, spark):
     return versioned(read).select("doc_id", F.posexplode(F.slice(chunks.greedy_chunks(F.col("text")), 1, 2)).alias("chunk_id", "text"))
 
 
-@query()
+# a: first and b: last of the paragraphs that are held, numbered without those of more than 400 tokens; sums up to each
+OVERLAP_SQL = f"""WITH RECURSIVE {PARAGRAPHS_SQL}, o AS (
+  SELECT *, count(*) FILTER (size <= 400) OVER seen AS k, coalesce(sum(size) FILTER (size <= 400) OVER seen, 0) AS upto FROM p WINDOW seen AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, k, part, upto, upto - size AS before FROM o WHERE size <= 400),
+g AS (
+  SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS ended_a, 0::BIGINT AS ended_b FROM (SELECT DISTINCT doc_id FROM p)
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN full_up THEN coalesce((SELECT min(s.k) FROM s WHERE s.doc_id = x.doc_id AND s.k <= b AND s.k >= a AND held_upto - s.before <= 60), b) ELSE a END,
+    CASE WHEN size > 400 THEN b ELSE k END, CASE WHEN full_up THEN a ELSE 0 END, CASE WHEN full_up THEN b ELSE 0 END
+  FROM (
+    SELECT g.doc_id, o.i, g.a, g.b, o.k, o.size, l.upto AS held_upto, g.a <= g.b AND (o.size > 400 OR l.upto - f.before + o.size > 400) AS full_up
+    FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1 LEFT JOIN s f ON f.doc_id = g.doc_id AND f.k = g.a LEFT JOIN s l ON l.doc_id = g.doc_id AND l.k = g.b) AS x),
+last AS (SELECT doc_id, max(i) AS i FROM g GROUP BY doc_id),
+ranges AS (
+  SELECT doc_id, i, 0 AS step, ended_a AS a, ended_b AS b FROM g WHERE ended_b > 0
+  UNION ALL SELECT doc_id, i + 1, 0, a, b FROM g JOIN last USING (doc_id, i) WHERE a <= b),
+found AS (
+  SELECT r.doc_id, r.i, 0 AS step, string_agg(s.part, chr(10) || chr(10) ORDER BY s.k) AS text FROM ranges r JOIN s ON s.doc_id = r.doc_id AND s.k BETWEEN r.a AND r.b GROUP BY r.doc_id, r.i
+  UNION ALL SELECT doc_id, i, 1 + unnest(generate_series(0, (length(part) - 1) // 1600)), substr(part, 1 + 1600 * unnest(generate_series(0, (length(part) - 1) // 1600)), 1600) FROM o WHERE size > 400)
+SELECT f.doc_id, d.source AS doc_name, (row_number() OVER (PARTITION BY f.doc_id ORDER BY i, step) - 1)::INT AS chunk_id, f.text, sha1(f.text) AS chunk_hash FROM found f JOIN documents d USING (doc_id)"""
+
+
+@query(OVERLAP_SQL)
 def chunk_overlap(read, spark):
-    """Chunks with overlap; tested against the rules on small texts."""
+    """Chunks as builds cut them: paragraphs of 400 tokens at most, the last of one chunk (60 tokens, one at least) before the next, longer ones in pieces."""
     return chunks.chunks(versioned(read), most=400, overlap=60)
 
 
+LINES_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, TRIMMED AS text FROM (SELECT doc_id, source, regexp_replace(text, '\n+', chr(10), 'g') AS value FROM documents)),
+l AS (
+  SELECT doc_id, i, line, length(line) // 4 AS size
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM d WHERE length(text) // 4 > 100)),
+g AS (
+  SELECT doc_id, i, size AS total, 0 AS part, size > 100 AS long FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, CASE WHEN g.long OR g.total + l.size > 100 THEN l.size ELSE g.total + l.size END, g.part + CASE WHEN g.long OR g.total + l.size > 100 THEN 1 ELSE 0 END, l.size > 100
+  FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i + 1),
+w AS (SELECT doc_id, part, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS text FROM g JOIN l USING (doc_id, i) GROUP BY doc_id, part),
+found AS (
+  SELECT doc_id, part, 0 AS step, text FROM w WHERE NOT long
+  UNION ALL SELECT doc_id, part, unnest(generate_series(0, (length(line) - 1) // 400)), substr(line, 1 + 400 * unnest(generate_series(0, (length(line) - 1) // 400)), 400) FROM (SELECT doc_id, part, TRIMMED AS line FROM (SELECT doc_id, part, text AS value FROM w WHERE long))
+  UNION ALL SELECT doc_id, 0, 0, text FROM d WHERE length(text) // 4 <= 100 AND text <> '')
+SELECT f.doc_id, d.source AS doc_name, (row_number() OVER (PARTITION BY f.doc_id ORDER BY part, step) - 1)::INT AS chunk_id, f.text, sha1(f.text) AS chunk_hash FROM found f JOIN d USING (doc_id)""".replace("\\n", "\n").replace("TRIMMED", trim_sql("value"))
+
+
+@query(LINES_SQL)
+def chunk_hard_split(read, spark):
+    """Texts that are one paragraph each: by lines of 100 tokens together, longer lines in pieces of 400 characters."""
+    return chunks.chunks(read("documents").withColumn("text", F.regexp_replace("text", "\n+", "\n")), most=100)
+
+
+@query(f"SELECT doc_id, i::INT AS place, substr(t, 1 + 250 * i, 250) AS piece FROM (SELECT doc_id, t, unnest(generate_series(0, (length(t) - 1) // 250)) AS i FROM (SELECT doc_id, {trim_sql('text')} AS t FROM documents) WHERE t <> '')")
+def char_split(read, spark):
+    return read("documents").select("doc_id", F.posexplode(t.fixed_pieces(F.col("text"), 250)).alias("place", "piece"))
+
+
+@query("""SELECT pos, name, unit, round(avg(x), 4) AS mean FROM (
+  SELECT 0 AS pos, 'share' AS name, CASE WHEN (SELECT bool_or(l_linenumber % 3 = 0) FROM lineitem) THEN '%' ELSE '' END AS unit, round(l_discount * 100, 1)::DOUBLE AS x FROM lineitem
+  UNION ALL SELECT 1, 'rate', 'mg/L', l_quantity::DOUBLE FROM lineitem UNION ALL SELECT 2, 'plain', '', l_tax::DOUBLE FROM lineitem) GROUP BY pos, name, unit""")
+def percent_units(read, spark):
+    """A per cent sign in any cell is the unit of a column whose header names none."""
+    share = F.round(F.col("l_discount").cast("double") * 100, 1).cast("string")
+    table = read("lineitem").select(F.concat(share, F.when(F.col("l_linenumber") % 3 == 0, "%").otherwise("")).alias("share"), F.col("l_quantity").cast("double").alias("rate (mg/L)"), F.col("l_tax").cast("double").alias("plain"))
+    return rounded(profile.column_summary(profile.cells(table)).select("pos", "name", "unit", "mean"), "mean")
+
+
+@query(f"SELECT doc_id, CASE WHEN {trim_sql('n')} = '' THEN '(unnamed)' ELSE {trim_sql('n')} END AS name, replace(replace(text, chr(10), ' '), '|', '/') AS value FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN chr(9) || ' ' ELSE ' ' || source || chr(160) END AS n, text || '|' || source AS text FROM documents)")
+def safe_names(read, spark):
+    name = F.when(F.col("doc_id") % 4 == 0, "\t ").otherwise(F.concat(F.lit(" "), "source", F.lit("\u00a0")))
+    return read("documents").select("doc_id", t.safe_name(name).alias("name"), t.safe_value(F.concat("text", F.lit("|"), "source")).alias("value"))
+
+
+def written_as_csv(table: DataFrame, spark) -> str:
+    """Where the table lies as delimited text, every cell in quotes."""
+    path = f"{run_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, text FROM documents")
+def csv_records(read, spark):
+    """Documents, whose texts have line feeds, back from delimited files."""
+    return read_delimited(spark, written_as_csv(read("documents").select("doc_id", "text"), spark), ",").select("doc_id", "text")
+
+
+@query(f"SELECT pos, name, count(*) FILTER (kind <> 'missing') AS non_null, count(*) FILTER (kind = 'numeric') AS n_numeric, count(*) FILTER (kind = 'text') AS n_text, round(avg(number), 4) AS mean FROM ({VOTES_SQL} ({long_sql('part', ['p_name', 'p_size', 'p_retailprice'])})) GROUP BY pos, name")
+def csv_profile(read, spark):
+    """The profile of delimited files: all cells are strings there."""
+    table = read_delimited(spark, written_as_csv(read("part").select("p_name", "p_size", "p_retailprice"), spark), ",").drop(ROW)
+    return rounded(profile.column_summary(profile.cells(table)).select("pos", "name", "non_null", "n_numeric", "n_text", "mean"), "mean")
+
+
 NEAR_SQL = "SELECT vec_id, label, coalesce(nullif(list_cosine_similarity(embedding::DOUBLE[], q), 'nan'::DOUBLE), 0) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 
 
@@ -402,6 +491,17 @@ def index_merge_union(read, spark):
     return found.select("doc_id", "doc_name", "chunk_id", F.col("vector")[0].cast("double").alias("first"))
 
 
+@query(rf"SELECT doc_id, source AS doc_name, sha1(t) AS chunk_hash, length(t)::DOUBLE AS first FROM (SELECT doc_id, source, {trim_sql('text')} AS t FROM (SELECT doc_id, source, regexp_replace(text, '\n+', chr(10), 'g') AS text FROM documents)) WHERE t <> ''")
+def index_update(read, spark):
+    """An index on disk of older documents, brought up to date by writing what differs."""
+    docs = read("documents").select("doc_id", "source", F.regexp_replace("text", "\n+", "\n").alias("text"))
+    old = docs.where("doc_id % 50 <> 0").withColumn("text", F.when(F.col("doc_id") % 20 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    path, meta = f"{run_dir(spark)}/index-{uuid.uuid4().hex}", index.IndexMeta(most_tokens=1 << 30)
+    index.update(old.unionByName(docs.limit(3).withColumn("doc_id", -F.col("doc_id") - 1)), embed_length, meta, path)
+    index.update(docs, embed_length, meta, path)
+    return index.load(spark, path)[0].select("doc_id", "doc_name", "chunk_hash", F.col("vector")[0].cast("double").alias("first"))
+
+
 @query("SELECT source AS doc_name, 0 AS chunk_id, doc_id FROM documents ORDER BY 1, 2, 3")
 def index_order(read, spark):
     return index.ordered(whole_chunks(read, True)).select("doc_name", "chunk_id", "doc_id")
@@ -441,6 +541,17 @@ def catalog_merge(read, spark):
     return catalog.merge(catalog.builtin(spark), spark.createDataFrame(UPDATE, catalog.SCHEMA))
 
 
+PROVIDER, TIER = "CASE conv_id % 5 WHEN 0 THEN 'openai' WHEN 1 THEN 'gemini' WHEN 2 THEN 'local' WHEN 3 THEN 'google' ELSE 'nobody' END", "CASE turn % 4 WHEN 0 THEN 'cheap' WHEN 1 THEN 'balanced' WHEN 2 THEN 'high-context' ELSE 'none' END"
+RECOMMENDED_SQL = "(VALUES " + ", ".join(f"('{tier}', '{provider}', '{model}')" for tier, models in catalog.TIERS.items() for provider, model in models.items()) + ") AS r(tier, provider, model)"
+
+
+@query(f"SELECT conv_id, turn, r.model AS model, context_tokens FROM (SELECT conv_id, turn, {PROVIDER} AS p, {TIER} AS tier FROM conversations) c LEFT JOIN {RECOMMENDED_SQL} ON r.tier = c.tier AND r.provider = CASE c.p {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in catalog.ALIASES.items())} ELSE c.p END LEFT JOIN {MODELS_SQL} ON m.name = r.model")
+def model_recommendation(read, spark):
+    """The model that each request's provider and tier recommend, with its context."""
+    asked = read("conversations").select("conv_id", "turn", F.expr(PROVIDER).alias("provider"), F.expr(TIER).alias("tier"))
+    return catalog.with_prices(catalog.recommendations(asked), catalog.builtin(spark)).select("conv_id", "turn", "model", "context_tokens")
+
+
 MODEL = "CASE conv_id % 4 WHEN 0 THEN 'openai/gpt-4o' WHEN 1 THEN 'google/gemini-1.5-pro' WHEN 2 THEN 'phi3:mini-4k-instruct' ELSE 'unknown/model' END"
 
 

@@ -200,8 +200,8 @@ def test_files_in_a_row(spark, tmp_path):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "metrics.csv").write_text("date,share\n2024-01-01,12.5%\n2024-01-02,13%\n")
     written = documents.analyze_files(spark, [str(tmp_path / "*/*.csv"), str(tmp_path / "a/metrics.csv")], str(tmp_path / "out"))
-    assert [w.rsplit("/", 1)[1] for w in written] == ["metrics.summary.md", "metrics__2.summary.md"]
-    assert "- share [%]: numeric" in open(written[0]).read() and "- date: datetime" in documents.table_document(spark, str(tmp_path / "a/metrics.csv"))
+    assert [w.summary.rsplit("/", 1)[1] for w in written] == ["metrics.summary.md", "metrics__2.summary.md"]
+    assert "- share [%]: numeric" in open(written[0].summary).read() and "- date: datetime" in documents.table_document(spark, str(tmp_path / "a/metrics.csv"))
 
 
 def test_stream_equals_table(spark, tmp_path):
