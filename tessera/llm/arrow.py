@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize, release
+
 #: Rows a batch that goes to Python: texts may be long, and a task holds one batch at a time.
 BATCH_ROWS = 256
 
@@ -50,6 +52,22 @@ def lists(of: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), structs)
 
 
+#: Hashes of 8 bytes that are sent to every task at most: 8 MB.
+MOST_SENT = 1 << 20
+
+
+def sorted_out(rows: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` whose ``key`` may be among those of ``known``, and the rows whose key is not, for joins that
+    concern few of many long rows: hashes of the keys are sent to the tasks, so the others are never
+    shuffled. If there are more than ``MOST_SENT`` all rows may be, and None stands for no others."""
+    few = materialize(known.select(F.xxhash64(key).alias("hash")).distinct(), "hashes")
+    if few.count() > MOST_SENT:
+        release(few)
+        return rows, None
+    is_one = F.xxhash64(rows[key]) == F.col("hash")
+    return rows.join(F.broadcast(few), is_one, "left_semi"), rows.join(F.broadcast(few), is_one, "left_anti")
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text leaves 0 when divided by 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import lists, map_batches, map_groups, mixed, row_uid
+from tessera.llm.arrow import lists, map_batches, map_groups, mixed, row_uid, sorted_out
 from tessera.llm.tokens import _BYTES, BASES, chunks, prefix_sums, run_hashes, utf8
 from tessera.session import materialize, release, settled
 
@@ -307,7 +307,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     differ = live.where("differ")
     tally = materialize(differ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("m")), "context-copies")
     per_text = tally.groupBy(F.col("m.uid").alias("uid")).agg(F.collect_set(F.struct("key", "ctx", "copies", "m.first", "m.at", "m.lo", "m.hi")).alias("found"))
-    segments = map_batches(rows.join(per_text, "uid"), lambda b: with_bytes(b, window), SEGMENT, rows=_ROWS)
+    segments = map_batches(sorted_out(rows, tally.select(F.col("m.uid").alias("uid")), "uid")[0].join(per_text, "uid"), lambda b: with_bytes(b, window), SEGMENT, rows=_ROWS)
     segments = materialize(segments.dropDuplicates(["key", "ctx"]) if repeats_rows(texts) else segments, "segments")
     widths = (*(max(2, (window - gram) // n) for n in slot_parts), 1)
     found = repeats(segments, window, gram, widths, group, keep_first).select("key", "ctx", F.col("lo").alias("from"), F.col("hi").alias("to"))
@@ -335,7 +335,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     texts, per_text = removals(docs, id_col=id_col, text_col=text_col, **options)
     rows = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    done = map_batches(rows.join(per_text, "uid"), cut_texts, "uid binary, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
+    per_text = materialize(per_text, "spans")
+    done = map_batches(sorted_out(rows, per_text, "uid")[0].join(per_text, "uid"), cut_texts, "uid binary, n_removed long, n_spans long, cut_sha256 string, kept_text string", rows=_ROWS)
     done = done.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "cut_sha256", "kept_text")))
     zero = F.lit(0).cast("long")
     return texts.join(done, "uid", "left").select("id", "uid", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
@@ -348,7 +349,8 @@ def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     per_text = settled(lambda: removals(docs, id_col=id_col, text_col=text_col, **options)[1], "spans")
     names = [f"c{i}" for i in range(len(docs.columns))]
     packed = docs.select(row_uid(F.col(id_col).cast("long"), F.col(text_col)).alias("uid"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    joined = packed.join(per_text, "uid", "left")
+    touched, others = sorted_out(packed, per_text, "uid")
+    joined = touched.join(per_text, "uid", "left")
     text, length = names[docs.columns.index(text_col)], names[docs.columns.index(length_col)] if length_col in docs.columns else None
 
     def trimmed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -360,7 +362,8 @@ def trimmed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             new[length] = pa.array([n if s is None else len(t) for t, s, n in sizes], batch.schema.field(length).type)
         return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
-    return map_batches(joined, trimmed, packed.drop("uid").schema, rows=_ROWS).toDF(*docs.columns)
+    found = map_batches(joined, trimmed, packed.drop("uid").schema, rows=_ROWS)
+    return (found if others is None else found.unionByName(others.drop("uid"))).toDF(*docs.columns)
 
 
 def repeats_rows(texts: DataFrame) -> bool:
