@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_dataset_document, preview, prompt_tokens
+from tessera.operators.ranges import running_sums
 
 # Tokens of a project, and number and tokens of its dataset summaries.
 PROJECT_TOKENS, PROJECT_WARNING = 200_000, 100_000
@@ -52,12 +53,28 @@ def document_block(name: Column, description: Column, text: Column) -> Column:
     return F.concat(F.lit("--- Document: "), label, F.lit(" ---\n"), text, F.lit("\n"))
 
 
-def prompt_documents(docs: DataFrame, project: str = "project", id_: str = "id", name: str = "name", description: str = "description", text: str = "text") -> DataFrame:
-    """(project, prompt_docs): the blocks of a project's documents in the order of their ids. A project's
-    documents are bounded by its token quota, so they fit one row."""
+def prompt_documents(docs: DataFrame, project: str = "project", id_: str = "id", name: str = "name", description: str = "description", text: str = "text", quota: int = PROJECT_TOKENS) -> DataFrame:
+    """(project, prompt_docs): the blocks of a project's documents in the order of their ids; null for a project of
+    more than ``quota`` tokens.
+
+    Tokens are added up by project first, in the tasks and then by key. Only documents of projects within
+    the quota are brought together, so what one row and one task hold is bounded, however many documents one
+    project has."""
+    totals = docs.groupBy(project).agg(F.sum(prompt_tokens(F.col(text))).alias("tokens")).select(F.col(project).alias("__project"), (F.coalesce("tokens", F.lit(0)) <= quota).alias("__fits"))
+    known = docs.select(project, id_, name, description, text).join(totals, F.col(project).eqNullSafe(F.col("__project")))
     entry = F.struct(F.col(id_).alias("id"), document_block(F.col(name), F.col(description), F.col(text)).alias("block"))
     blocks = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["block"])
-    return docs.groupBy(project).agg(F.array_join(blocks, "\n").alias("prompt_docs"))
+    within = known.where("__fits").groupBy(project).agg(F.array_join(blocks, "\n").alias("prompt_docs"))
+    over = totals.where("not __fits").select(F.col("__project").alias(project), F.lit(None).cast("string").alias("prompt_docs"))
+    return within.unionByName(over)
+
+
+def within_tokens(docs: DataFrame, most: int, project: str = "project", id_: str = "id", text: str = "text") -> DataFrame:
+    """The first documents of each project, in the order of their ids, that ``most`` tokens hold together, with their
+    place and the tokens up to them. A project with very many documents is many tasks."""
+    counted = docs.withColumns({"__one": F.lit(1), "__tokens": prompt_tokens(F.col(text))})
+    placed = running_sums(counted, project, [id_], {"__one": "place", "__tokens": "tokens_so_far"})
+    return placed.where(F.col("tokens_so_far") <= most).drop("__one", "__tokens")
 
 
 def build_prompt(instructions: str, blocks: str, task: str | None = None) -> str:
@@ -82,9 +99,10 @@ def retrieval_settings(k: int = 0, min_score: float = 0.0, config_k: int = 0, co
 
 
 def evidence_documents(docs: DataFrame, project: str = "project", id_: str = "id", path: str = "path") -> DataFrame:
-    """Documents with their place in the report and whether they are derived (have no path)."""
-    place = F.row_number().over(W.partitionBy(project).orderBy(id_))
-    return docs.withColumn("place", place).withColumn("is_derived", F.coalesce(F.col(path), F.lit("")) == "")
+    """Documents with their place in the report and whether they are derived (have no path). A project with very
+    many documents is many tasks."""
+    placed = running_sums(docs.withColumn("__one", F.lit(1)), project, [id_], {"__one": "place"}).drop("__one")
+    return placed.withColumn("place", F.col("place").cast("int")).withColumn("is_derived", F.coalesce(F.col(path), F.lit("")) == "")
 
 
 def evidence_items(found: DataFrame, text: str = "text") -> DataFrame:

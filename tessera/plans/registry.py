@@ -619,6 +619,12 @@ def prompt_docs(read, spark):
     return prompts.prompt_documents(docs, project="conv_id", id_="turn", name="role")
 
 
+@query(f"SELECT * FROM (SELECT source, doc_id, row_number() OVER seen AS place, sum({prompt_tokens_sql('text')}) OVER seen AS tokens_so_far FROM documents WINDOW seen AS (PARTITION BY source ORDER BY doc_id)) WHERE tokens_so_far <= 20000")
+def prompt_budget(read, spark):
+    """The first documents of each source that a budget of tokens holds."""
+    return prompts.within_tokens(read("documents"), 20_000, project="source", id_="doc_id").select("source", "doc_id", "place", "tokens_so_far")
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place, role = 'user' AS is_derived FROM conversations")
 def evidence_documents(read, spark):
     docs = read("conversations").withColumn("path", F.when(F.col("role") == "user", "").otherwise(F.col("role")))
