@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import map_batches, mixed
+from tessera.llm.arrow import map_batches, mixed, sorted_out
 from tessera.llm.components import components, numbered
 from tessera.llm.tokens import BASES, Words, prefix_sums, run_hashes, words
 from tessera.session import materialize, release, settled
@@ -15,12 +15,11 @@ from tessera.session import materialize, release, settled
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches a text, shingles a sketch, and the part of the text over which they must reach for the sketch
-#: to count: a passage that many unlike texts share gives them no sketch. Three quarters of all
+#: to count: a passage that many unlike texts share gives them no sketch. A little under half of all
 #: sketches count. Texts with a share J of their shingles in common share one with probability
-#: 1 - (1 - 0.74 * J ** 3) ** 80: 0.80 at 0.3, 0.98 at 0.4, 0.9995 at 0.5. Words that are edited here and
-#: there at a rate of one in ten leave J at 0.42; a run of edited words leaves more.
-SKETCHES = 80
-LENGTH = 3
+#: 1 - (1 - 0.47 * J ** 2) ** 112: 0.88 at 0.2, 0.99 at 0.3, 0.9998 at 0.4.
+SKETCHES = 112
+LENGTH = 2
 REACH = 1 / 3
 #: Documents of a bucket that one task compares with one another or with as many others.
 BLOCK = 96
@@ -54,10 +53,12 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 def sketch_keys(labels: np.ndarray, first: np.ndarray, sketches: int = SKETCHES, length: int = LENGTH) -> np.ndarray:
     """(texts, sketches) of keys; 0 for a sketch that doesn't count. A sketch is the ``length`` smallest
     shingles under one of the hash orders, in the order in which the text has them. Texts must have a
-    shingle; one of fewer than ``length`` has them all in its sketches."""
-    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    place = np.minimum(np.arange(len(labels)) - first[:-1][of], int(_PLACE)).astype(np.uint64)
-    needed = ((np.minimum(np.diff(first), int(_PLACE)) - 1) * REACH).astype(np.uint64)
+    shingle; one of fewer than ``length`` has them all in its sketches. Places have 20 bits: in a longer text
+    as many neighbours as it takes are at one place, and go by their hashes there."""
+    of, n = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.diff(first)
+    coarse = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / (int(_PLACE) + 1))), 0).astype(np.int64)
+    place = ((np.arange(len(labels)) - first[:-1][of]) >> coarse[of]).astype(np.uint64)
+    needed = (((n - 1) >> coarse) * REACH).astype(np.uint64)
     keys = np.empty((len(first) - 1, sketches), np.uint64)
     chosen = np.empty((length, len(keys)), np.uint64)
     factors = mixed(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = materialize(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("rep", (-F.col("m.b")).alias("b")), "stars")
     # texts that share a sketch, once for both comparisons
     candidates = bucketed.select("rep").distinct().join(distinct.select("rep", "least", "text_key"), "rep")
-    texts = rows.withColumn("whole_key", key).join(candidates, (F.col("id") == F.col("least")) & (F.col("whole_key") == F.col("text_key")))
+    texts = sorted_out(rows.where("id is not null"), candidates.select(F.col("least").alias("id")), "id")[0].withColumn("whole_key", key).join(candidates, (F.col("id") == F.col("least")) & (F.col("whole_key") == F.col("text_key")))
     texts = materialize(texts.select("rep", "text"), "candidates")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -275,6 +276,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return joined.unionByName(alone).select("id", F.lower(F.hex("text_key")).alias("text_key"), "component_id", F.coalesce((F.col("id") == F.col("component_id")) & F.col("first"), F.lit(False)).alias("kept"))
 
 
+def row_key_of(id_: Column, text_key: Column) -> Column:
+    """40 bytes that stand for a row's id and text; null without an id."""
+    return F.unhex(F.concat(F.lpad(F.hex(id_), 16, "0"), text_key))
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns as they are: that with the
     smallest id, and of rows equal in id and text one. Rows with a null id stay."""
@@ -282,12 +288,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def counts() -> DataFrame:
         found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("id is not null")
         counted = found.groupBy("id", "text_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-        return counted.where("kept").select("id", F.unhex("text_key").alias("text_key"), "times")
+        return counted.where("not kept or times > 1").select(row_key_of(F.col("id"), F.col("text_key")).alias("row_key"), "kept")
 
-    counted = settled(counts, "kept")
-    packed = docs.select(docs[id_col].cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).alias("text_key"), F.struct("*").alias("row"))
-    out = packed.join(counted.where("times = 1"), ["id", "text_key"], "left_semi").unionByName(packed.where("id is null"))
-    repeated = counted.where("times > 1")
-    if not repeated.isEmpty():
-        out = out.unionByName(packed.join(repeated, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]))
+    counted = settled(counts, "dropped")
+    row_key = row_key_of(docs[id_col].cast("long"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    packed = docs.select(row_key.alias("row_key"), F.struct("*").alias("row"))
+    touched, others = sorted_out(packed.where("row_key is not null"), counted, "row_key")
+    once = touched.join(counted, "row_key", "left_anti").select("row").unionByName(packed.where("row_key is null").select("row"))
+    repeated = touched.join(counted.where("kept"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row")
+    out = once.unionByName(repeated) if others is None else once.unionByName(repeated).unionByName(others.select("row"))
     return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
