@@ -3,27 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import running_sums
 from tessera.session import materialize
 
 
-def running_sums(rows: DataFrame, by: str, order: list[Column | str], value: str, name: str) -> DataFrame:
-    """``rows`` plus ``name``: the sum of ``value`` over the rows of the same ``by`` up to this one.
-
-    Rows lie in ranges of (by, order) over all tasks, so a ``by`` with very many rows is many ranges and no
-    task sees it whole. What is carried into a range belongs to the one ``by`` that goes on from the
-    range before, so the table of these sums has a row a range at most, and is broadcast."""
-    dealt = materialize(rows.repartitionByRange(by, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy(by, "range").agg(F.sum(value).alias("in_range"))
-    carried = F.sum("in_range").over(W.partitionBy(by).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    carried = sums.withColumn("carried", carried).where("carried is not null").drop("in_range")
-    inside = F.sum(value).over(W.partitionBy(by, "range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    placed = dealt.withColumn("inside", inside).join(F.broadcast(carried), [by, "range"], "left")
-    return placed.withColumn(name, F.col("inside") + F.coalesce("carried", F.lit(0))).drop("inside", "carried", "range")
-
-
 def turn_key(role: Column, text: Column) -> Column:
     """32 bytes that stand for a turn's role and text."""
     return F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256))
@@ -35,7 +20,7 @@ def placed_turns(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     roles and texts are empty; rows without a conversation are left out."""
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), turn_key(role, text).alias("key"), F.octet_length(text).cast("long").alias("bytes"), F.lit(1).alias("one"))
-    placed = running_sums(rows.where("conv_id is not null"), "conv_id", [F.col("turn").asc_nulls_first(), "role", "key"], "one", "depth")
+    placed = running_sums(rows.where("conv_id is not null"), "conv_id", [F.col("turn").asc_nulls_first(), "role", "key"], {"one": "depth"})
     return placed.select("conv_id", "depth", "key", "bytes")
 
 

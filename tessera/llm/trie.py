@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.conversations import running_sums
+from tessera.operators.ranges import running_sums
 from tessera.session import materialize, release
 
 #: Ids that go into one piece of text before digests are taken.
@@ -108,7 +108,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     chain = rows.join(alone, "conv_id").where("depth > left_at").withColumn("own", (F.col("n") - 1) * F.col("bytes"))
     chain = materialize(chain.select("conv_id", "depth", "len", "n", "own"), "chains")
     copied = chain.where("n > 1")
-    summed = running_sums(copied, "conv_id", [F.col("depth").desc()], "own", "saved").unionByName(chain.where("n = 1").withColumn("saved", F.lit(0).cast("long")))
+    summed = running_sums(copied, "conv_id", [F.col("depth").desc()], {"own": "saved"}).unionByName(chain.where("n = 1").withColumn("saved", F.lit(0).cast("long")))
     nodes = [summed.select("depth", "conv_id", F.col("conv_id").alias("parent"), F.col("n").alias("n_convs"), (F.col("depth") < F.col("len")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), "saved", F.when(F.col("depth") == F.col("len"), F.col("conv_id")).alias("ender"))]
     below_alone = materialize(copied.groupBy("conv_id").agg(F.sum("own").alias("chain_saved")), "chain-sums")
 

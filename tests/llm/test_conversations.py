@@ -92,16 +92,6 @@ def test_small_tries(spark, table):
     assert [tuple(r) for r in silent] == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,5").hexdigest())]
 
 
-def test_running_sums(spark):
-    r = random.Random(1)
-    rows = [(1 if r.random() < 0.6 else r.randint(2, 30), i, r.randint(0, 9)) for i in range(4000)]
-    found = {(x["k"], x["i"]): x["s"] for x in conversations.running_sums(spark.createDataFrame(rows, "k long, i long, v long"), "k", ["i"], "v", "s").collect()}
-    sums = {}
-    for k, i, v in rows:
-        sums[k] = sums.get(k, 0) + v
-        assert found[k, i] == sums[k]
-
-
 def test_chat_round_trip(table):
     found = {r["conv_id"]: r for r in chat.formatted(table).collect()}
     digests = {r["conv_id"]: r for r in chat.digests(chat.formatted(table)).collect()}
