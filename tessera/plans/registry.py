@@ -326,11 +326,6 @@ def chunk_greedy(read, spark):
     return versioned(read).select("doc_id", F.posexplode(chunks.greedy_chunks(F.col("text"))).alias("chunk_id", "text"))
 
 
-@query(f"{GREEDY_SQL} SELECT * FROM c WHERE chunk_id < 2")
-def chunk_cap(read, spark):
-    return chunks.chunks(versioned(read), per_document=2).select("doc_id", "chunk_id", "text")
-
-
 # a: first and b: last of the paragraphs that are held, numbered without those of more than 400 tokens; sums up to each
 OVERLAP_SQL = f"""WITH RECURSIVE {PARAGRAPHS_SQL}, o AS (
   SELECT *, count(*) FILTER (size <= 400) OVER seen AS k, coalesce(sum(size) FILTER (size <= 400) OVER seen, 0) AS upto FROM p WINDOW seen AS (PARTITION BY doc_id ORDER BY i)),
@@ -359,6 +354,12 @@ def chunk_overlap(read, spark):
     return chunks.chunks(versioned(read), most=400, overlap=60)
 
 
+@query(f"SELECT doc_id, chunk_id, text FROM ({OVERLAP_SQL}) WHERE chunk_id < 2")
+def chunk_cap(read, spark):
+    """The first two chunks of each document."""
+    return chunks.chunks(versioned(read), most=400, overlap=60, per_document=2).select("doc_id", "chunk_id", "text")
+
+
 LINES_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, TRIMMED AS text FROM (SELECT doc_id, source, regexp_replace(text, '\n+', chr(10), 'g') AS value FROM documents)),
 l AS (
   SELECT doc_id, i, line, length(line) // 4 AS size
