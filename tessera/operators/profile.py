@@ -148,6 +148,15 @@ def text_examples(table: DataFrame, column: str, order: list[str], most: int = 3
     return table.select(*order, value.alias("value")).where("value <> ''").orderBy(*order).limit(most)
 
 
+def examples_by_column(table: DataFrame, columns: dict[int, str], order: list[str], most: int = 3) -> DataFrame:
+    """(pos, place, value): ``text_examples`` of several columns, in one pass; each task keeps ``most`` a column."""
+    entries = [F.struct(F.lit(pos).alias("pos"), trim_all(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias("value")) for pos, c in columns.items()]
+    named = [F.col(c).alias(f"__order{i}") for i, c in enumerate(order)]
+    long = table.select(*named, F.inline(F.array(*entries))).where("value <> ''")
+    place = F.row_number().over(W.partitionBy("pos").orderBy(*(f"__order{i}" for i in range(len(order)))))
+    return long.withColumn("place", place).where(F.col("place") <= most).select("pos", "place", "value")
+
+
 def bracket(sketch: Column, n: Column, below: Column, inside: Column) -> tuple[Column, Column]:
     """The two points of a sketch of ``inside`` values between which the middle ones of ``n`` lie, if ``below``
     values are smaller than all of them; null where the sketch has no such point."""

@@ -45,7 +45,9 @@ def analyze(table: DataFrame, order: list[str], name: str = "", options: p.Profi
         warnings.append(f"processed only {counts['processed']}/{counts['rows']} rows due to MaxRows")
     key = g.group_key(shown, list(options.group_by))
     keyed = taken.select(*shown.columns, *([key.alias("__group")] if key is not None else []))
-    long = p.cells(keyed, options, ("__group",) if key is not None else ()).cache()
+    long = p.cells(keyed, options, ("__group",) if key is not None else ())
+    if options.max_rows > 0:
+        long = long.cache()  # bounded; all cells of a whole table are rather worked out again
     summary = p.column_summary(long)
     columns = [r.asDict() for r in summary.orderBy("pos").collect()]
     tops, unique = _by(p.top_values(long).orderBy("pos", "place").collect(), "pos"), {r["pos"]: r["n_unique"] for r in p.category_unique(long).collect()}
@@ -56,10 +58,12 @@ def analyze(table: DataFrame, order: list[str], name: str = "", options: p.Profi
         for c in numeric:
             if c["pos"] in found:
                 c |= {k: found[c["pos"]][k] for k in ("n_outliers", "max_abs_z", "threshold")}
+    texts = {c["pos"]: shown.columns[c["pos"]] for c in columns if c["kind"] == "text"}
+    examples = _by(p.examples_by_column(taken, texts, order).orderBy("pos", "place").collect(), "pos") if texts else {}
     for c in columns:
         c["top"], c["unique"] = [(r["value"], r["n"]) for r in tops.get(c["pos"], [])], unique.get(c["pos"], 0)
         if c["kind"] == "text":
-            c["examples"] = [r["value"] for r in p.text_examples(taken, shown.columns[c["pos"]], order).collect()]
+            c["examples"] = [r["value"] for r in examples.get(c["pos"], [])]
     samples = [list(r) for r in p.head_sample(taken.select(*dict.fromkeys([*shown.columns, *hidden])), order, options.sample_rows).select(*shown.columns).collect()]
     report = Report(name, counts["rows"], counts["processed"], columns, samples, warnings=warnings)
     numbers = keyed.select(*(["__group"] if key is not None else []), *(_number(shown.columns[c["pos"]], options).alias(c["name"]) for c in numeric))

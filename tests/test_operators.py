@@ -43,6 +43,14 @@ def test_report(europe):
         assert part in text
 
 
+def test_examples_of_texts(spark):
+    rows = [(i, "" if i % 3 == 0 else f" text {i} " + "x" * 70, None if i < 4 else f"other {i} " + "y" * 70, i) for i in range(20)]
+    table = spark.createDataFrame(rows, "__row int, `a b` string, c string, n int").repartition(3)
+    for most in (1000, 0):
+        by = {c["name"]: c for c in report.analyze(table, ["__row"], options=profile.ProfileOptions(max_rows=most)).columns}
+        assert [e.split(" x")[0][:6] for e in by["a b"]["examples"]] == ["text 1", "text 2", "text 4"] and [e[:7] for e in by["c"]["examples"]] == ["other 4", "other 5", "other 6"]
+
+
 def test_column_cap(europe):
     found = report.analyze(europe, [ROW], options=profile.ProfileOptions(max_columns=3))
     assert len(found.columns) == 3 and found.warnings == ["dropped 3 column(s) due to MaxColumns limit"]
