@@ -144,13 +144,13 @@ def update(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], met
     Without an index, with settings that don't fit, or with ``force`` all is written. Folders of changes are put together
     with ``compact`` once there are ``MOST_CHANGES``, or once ``MOST_REMOVED`` of all written chunks are
     gone. If another writer is first, the change is worked out again from that one's version. Equal
-    chunks of one document and place are one. ``source`` stands for the documents and how they are cut: if the
+    chunks of one document and place are one; documents without an id are left out. ``source`` stands for the documents and how they are cut: if the
     newest version was made from the same, nothing is read."""
     spark = docs.sparkSession
     _, known = versions.latest(spark, path)
     if source and known and not force and known.get("source") == source and meta.compatible(_settings(known)):
         return _settings(known), 0, 0
-    docs = docs.where(allowed(F.col(name_col), include, exclude))
+    docs = docs.where(allowed(F.col(name_col), include, exclude) & F.col(id_col).isNotNull())
     new = chunks(docs, id_col=id_col, name_col=name_col, text_col=text_col, most=meta.most_tokens, overlap=meta.overlap, per_document=per_document)
     new = materialize(new.dropDuplicates(KEYS), "chunks")
     done: dict = {}

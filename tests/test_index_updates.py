@@ -81,7 +81,9 @@ def test_compaction_and_vacuum(spark, path, monkeypatch):
 
 def test_other_settings_and_repeated_documents(spark, path):
     docs = docs_of(spark, {1: "a", 2: "b"})
-    index.update(docs.unionByName(docs), counting(), META, path)
+    nobody = spark.createDataFrame([(None, "n", "nobody's")], docs.schema)
+    for _ in range(2):
+        index.update(docs.unionByName(docs).unionByName(nobody), counting(), META, path)
     assert len(state(spark, path)) == 2
     assert index.update(docs, counting(), index.IndexMeta(model="other", most_tokens=10), path)[1:] == (2, 0)
     assert index.update(docs, counting(), index.IndexMeta(model="other", most_tokens=10), path, force=True)[1] == 2
