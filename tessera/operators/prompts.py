@@ -59,7 +59,7 @@ def prompt_documents(docs: DataFrame, project: str = "project", id_: str = "id",
 
     Tokens are added up by project first, in the tasks and then by key. Only documents of projects within
     the quota are brought together, so what one row and one task hold is bounded, however many documents one
-    project has."""
+    project has; ``prompt_blocks`` has those of any project."""
     totals = docs.groupBy(project).agg(F.sum(prompt_tokens(F.col(text))).alias("tokens")).select(F.col(project).alias("__project"), (F.coalesce("tokens", F.lit(0)) <= quota).alias("__fits"))
     known = docs.select(project, id_, name, description, text).join(totals, F.col(project).eqNullSafe(F.col("__project")))
     entry = F.struct(F.col(id_).alias("id"), document_block(F.col(name), F.col(description), F.col(text)).alias("block"))
@@ -69,6 +69,13 @@ def prompt_documents(docs: DataFrame, project: str = "project", id_: str = "id",
     return within.unionByName(over)
 
 
+def prompt_blocks(docs: DataFrame, project: str = "project", id_: str = "id", name: str = "name", description: str = "description", text: str = "text") -> DataFrame:
+    """(project, place, block): the blocks of each project's documents, numbered in the order of their ids, a row a
+    document; a project of any size is many tasks."""
+    rows = docs.select(project, id_, document_block(F.col(name), F.col(description), F.col(text)).alias("block"), F.lit(1).alias("__one"))
+    return running_sums(rows, project, [id_], {"__one": "place"}).select(project, "place", "block")
+
+
 def within_tokens(docs: DataFrame, most: int, project: str = "project", id_: str = "id", text: str = "text") -> DataFrame:
     """The first documents of each project, in the order of their ids, that ``most`` tokens hold together, with their
     place and the tokens up to them. A project with very many documents is many tasks."""

@@ -620,6 +620,12 @@ def prompt_docs(read, spark):
     return prompts.prompt_documents(docs, project="conv_id", id_="turn", name="role")
 
 
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, '--- Document: ' || role || ' (turn ' || turn || ') ---' || chr(10) || text || chr(10) AS block FROM conversations")
+def prompt_blocks(read, spark):
+    docs = read("conversations").withColumn("description", F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    return prompts.prompt_blocks(docs, project="conv_id", id_="turn", name="role")
+
+
 @query(f"SELECT * FROM (SELECT source, doc_id, row_number() OVER seen AS place, sum({prompt_tokens_sql('text')}) OVER seen AS tokens_so_far FROM documents WINDOW seen AS (PARTITION BY source ORDER BY doc_id)) WHERE tokens_so_far <= 20000")
 def prompt_budget(read, spark):
     """The first documents of each source that a budget of tokens holds."""
