@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 #: Rows and queries of one matrix product.
 ROWS, QUERIES = 2048, 1024
@@ -67,6 +67,51 @@ def reachable(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.cos(np.maximum(np.arccos(np.clip(queries @ center, -1, 1)) - radius, 0)) + MARGIN
 
 
+#: Vectors that centroids are fitted on, at most, and rounds of moving them.
+SAMPLE, MOVES = 20_000, 8
+
+
+def centroids(units: np.ndarray, clusters: int, seed: int = 1) -> np.ndarray:
+    """Unit vectors, each the mean direction of those of ``units`` that are nearest to it."""
+    random = np.random.default_rng(seed)
+    centers = units[random.choice(len(units), min(clusters, len(units)), replace=False)]
+    for _ in range(MOVES):
+        nearest = (units @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, nearest, units)
+        length = np.sqrt((sums * sums).sum(axis=1))
+        some = length > MARGIN
+        centers[some] = sums[some] / length[some, None]
+    return centers
+
+
+def clustered(records: DataFrame, *, vector_col: str = "vector", clusters: int = 256, sample: int = SAMPLE) -> DataFrame:
+    """``records`` laid out so that rows of like directions follow one another: written so, a search passes over most
+    batches by their centroids. All rows stay, whatever they hold; what is found is the same.
+
+    Centroids are fitted on at most ``sample`` rows by hash, of the most frequent length among them; each row goes
+    with the nearest, rows without a direction or of another length go last."""
+    spark = records.sparkSession
+    found = usable(records.select(vector_col).orderBy(F.xxhash64(vector_col)).limit(sample).toArrow().column(vector_col))
+    if not found:
+        return records
+    known = max(found.values(), key=lambda v: len(v.at))
+    sent = spark.sparkContext.broadcast(centroids(known.unit, clusters))
+    dim = known.x.shape[1]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cluster = np.full(batch.num_rows, len(sent.value), np.int32)
+            mine = usable(batch.column(batch.schema.get_field_index(vector_col))).get(dim)
+            if mine is not None:
+                cluster[mine.at] = (mine.unit @ sent.value.T).argmax(axis=1)
+            yield batch.append_column("__cluster", pa.array(cluster))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    dealt = records.mapInArrow(placed, StructType([*records.schema.fields, StructField("__cluster", IntegerType())]))
+    return dealt.repartitionByRange("__cluster", F.xxhash64(vector_col)).sortWithinPartitions("__cluster").drop("__cluster")
+
+
 class Best:
     """The best rows of a task so far, up to ``k`` a query, ties by the columns ``ties``."""
 

@@ -5,6 +5,7 @@ import random
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import index, nearest
@@ -50,6 +51,24 @@ def test_bounds_of_centroids(spark):
             assert (bound < 0.9).any()
 
 
+def test_clustered_records(spark):
+    """Laid out by clusters, records give the same rows, and batches lie closer together than before."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(12, 8))
+    rows = [(i, (centers[i % 12] + 0.05 * r.normal(size=8)).tolist()) for i in range(1200)] + [(2000, None), (2001, [0.0] * 8), (2002, [1.0]), (2003, [])]
+    records = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    laid = nearest.clustered(records, clusters=12)
+    assert sorted(map(str, laid.collect())) == sorted(map(str, records.collect())) and laid.columns == records.columns
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 100, 9)], "query_id long, query array<double>")
+    search = lambda of: sorted(map(tuple, index.search_many(of, queries, k=5, ties=("vec_id",)).select("query_id", "place", "vec_id").collect()))
+    assert search(laid) == search(records)
+    spread = lambda df: np.mean([(u := nearest.usable(pa.array([list(x) for x in v]))[8].unit) @ u.mean(axis=0) for v in np.array_split([x["vector"] for x in df.collect() if x["vector"] and len(x["vector"]) == 8 and any(x["vector"])], 24)])
+    assert spread(laid) > spread(records) + 0.3
+    assert nearest.clustered(records.limit(0)).count() == 0
+
+
 def test_nothing_to_search(spark):
     records = spark.createDataFrame([("a", 1, [1.0])], "doc_name string, chunk_id long, vector array<float>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, query array<float>")
