@@ -155,6 +155,17 @@ def linked(ids: np.ndarray, part: np.ndarray, block: np.ndarray, texts: list[np.
     return found
 
 
+def several_parts(members: DataFrame) -> DataFrame:
+    """(bucket, top, of_top, n) of the buckets of ``members`` (bucket, rep, part) that hold several parts: the
+    largest part, its texts there and all texts. Of buckets of the same texts one is given, told by
+    their number and 95 bits summed over them; one row a bucket, so that a join by it makes no pairs."""
+    one = F.xxhash64("rep")
+    counted = members.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.sum(one.bitwiseAND(F.lit((1 << 31) - 1))).alias("y"))
+    held = counted.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("kinds > 1")
+    once = held.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "top")).alias("m"))
+    return once.select("m.bucket", F.col("m.top.part").alias("top"), F.col("m.top.n").alias("of_top"), "n")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(id, text_key, component_id, kept) of every row: classes of documents that are linked. Two texts are
     linked if they share a sketch of their shingles of k words, and an alignment matches
@@ -227,9 +238,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # some texts go with the next block too, so that blocks of similar texts hang together whatever that one is like
     members = stars.select("rep", F.col("b").alias("bucket"))
     sizes = members.groupBy("bucket").agg(blocks_of(F.count(F.lit(1))).alias("blocks"))
-    around = members.join(sizes, "bucket").withColumn("block", place("rep", "blocks"))
-    onward = around.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", "bucket"), F.lit(ONWARD)) == 0)).withColumn("block", F.pmod(F.col("block") + 1, F.col("blocks")))
-    around = around.unionByName(onward).select("rep", "bucket", "block")
+    onward = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", "bucket"), F.lit(ONWARD)) == 0)
+    next_too = F.when(onward, F.array("block", F.pmod(F.col("block") + 1, F.col("blocks")))).otherwise(F.array("block"))
+    around = members.join(sizes, "bucket").withColumn("block", place("rep", "blocks")).select("rep", "bucket", F.explode(next_too).alias("block"))
     centers = sizes.select(F.col("bucket").alias("rep"), "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = around.unionByName(centers).select("rep", "bucket", F.col("rep").alias("part"), "block", F.col("block").alias("bi"), F.col("block").alias("bj"))
     links = compared(dealt)
@@ -239,13 +250,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parted = bucketed.join(parts, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part"), F.explode(F.array(step, step + 1)).alias("step"), "key")
     parted = materialize(parted.select("rep", "part", F.xxhash64("key", "step").alias("bucket")), "parts")
     release(bucketed, stars)
-    counted = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    tops = counted.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("top.part").alias("top"))
     large = parts.groupBy(F.col("part").alias("top")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    opened = materialize(parted.join(tops, "bucket").join(large.select("top", blocks_of("n").alias("most")), "top", "left").select("bucket", "rep", "part", "top", "most"), "opened")
+    tops = several_parts(parted).join(large.select("top", blocks_of("n").alias("most")), "top", "left")
+    # who is in a large part that is first in a bucket is not looked up there
+    wanted = (parted["bucket"] == tops["bucket"]) & (tops["most"].isNull() | (parted["part"] != tops["top"]))
+    opened = materialize(parted.join(tops, wanted).select(parted["bucket"], "rep", "part", "top", "most"), "opened")
     release(parted)
     # a text of a bucket in which a large part is first meets all blocks of that part, once for all buckets
-    outside = opened.where("part <> top and most is not null").select("top", "rep", "most").distinct()
+    outside = opened.where("most is not null").select("top", "rep", "most").distinct()
     outside = materialize(outside, "outside")
     if not outside.isEmpty():
         counts = outside.groupBy("top", "most").agg(blocks_of(F.count(F.lit(1))).alias("rest"))
@@ -254,21 +266,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(compared(left.unionByName(right)))
         parts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     # what buckets hold beside such a part
-    beside = opened.where("part <> top or most is null").select("bucket", "rep").join(parts, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
-    beside = outsiders = materialize(beside, "beside")
+    beside = materialize(opened.join(parts, "rep", "left").select("bucket", "rep", F.coalesce(parts["part"], "rep").alias("part")), "beside")
     release(opened, outside)
-    several = beside.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("y")).where("lo < hi")
-    beside = beside.join(materialize(several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "several-parts"), "bucket")
-    counted = beside.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
-    largest = largest.select("bucket", F.col("top.part").alias("top"), blocks_of(F.col("n") - F.col("top.n")).alias("rest"), blocks_of(F.col("top.n")).alias("most"))
+    largest = several_parts(beside).select("bucket", "top", blocks_of(F.col("n") - F.col("of_top")).alias("rest"), blocks_of("of_top").alias("most"))
     # blocks 0 .. rest - 1 are outside the largest part, the following ones of it
     in_top = F.col("part") == F.col("top")
     dealt = beside.join(largest, "bucket").withColumn("block", F.when(in_top, F.col("rest") + place("rep", "most")).otherwise(place("rep", "rest")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("most")))))
     dealt = dealt.select("rep", "bucket", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     parts = components(links.unionByName(compared(dealt)))
-    release(texts, outsiders)
+    release(texts, beside)
     reps = distinct.select("text_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("text_key").alias("of"), F.coalesce("component", "rep").alias("component"), F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("first"))
     reps = reps.join(distinct.select(F.col("rep").alias("component"), F.col("least").alias("component_id")), "component")
     joined = sketches.where("keys is not null").join(reps, F.col("text_key") == F.col("of"), "left").select("id", "text_key", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), "first")
