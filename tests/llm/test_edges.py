@@ -1,8 +1,10 @@
 """Columns of any names, tables without rows, very long texts, and accuracy on held-out rows of the given tables."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,17 @@ def test_very_long_repeats(spark):
     text = part + "".join(r.choice("xyz ") for _ in range(1_600_000)) + part
     found = suffixes.deduplicated(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (found["n_bytes"], found["n_removed"], found["n_spans"]) == (2_000_000, 400_000, 2)
+
+
+def test_contexts_of_a_long_text_take_the_memory_of_a_piece(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 3_000_000, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_pydict({"uid": [b"a", b"b", b"c"], "id": [1, 2, 3], "text": [text, None, text[:700] + text[:900] + "x" * 2000]})
+    tracemalloc.start()
+    found = suffixes.contexts(batch, 256, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+    for part in (len(text), 1000, 256):  # at once, and in pieces of all kinds of places
+        monkeypatch.setattr(suffixes, "_PART", part)
+        assert suffixes.contexts(batch.slice(2 if part < 1000 else 0), 256, 64).equals(found.slice(2 if part < 1000 else 0))
